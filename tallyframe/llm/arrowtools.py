@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def small_batches(spark: SparkSession) -> None:
 def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes; no empty ones."""
     for b in batches:
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(b.column(column)).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(b.column(column)).to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:
