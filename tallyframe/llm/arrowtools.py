@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python. Long texts are common, so small batches keep workers small.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 #: Bytes of text that one vectorised step takes at a time; a longer single text is a step of its own.
 STEP_BYTES = 4 << 20
 

@@ -1,8 +1,11 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from tallyframe.llm import media
+from tallyframe.llm import bpe, langid, media, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_language_id": langid.op7_language_id,
     "op10_media_columns": media.op10_media_columns,
 }
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import id_remainder, small_batches, steps, table
 
-SAMPLE_BYTES = 40_000
+SAMPLE_BYTES = 24_000
 SAMPLE_DOCS = 256
 WINDOW = 512
 LETTER = re.compile(r"[^\W\d_]")
@@ -100,10 +100,11 @@ class CrossParser:
                     for c, to in own.items():
                         cells[state, c] = 2 * (at + to) * width
             cells[:, self.pad] = 2 * at * width
-            tables.append(cells.astype(np.int32))
+            tables.append(cells)
             self.start.append(at * width)
             at += len(moves)
-        self.cells = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        kind = np.int32 if 2 * at * width < 2**31 else np.int64
+        self.cells = np.concatenate([x.astype(kind) for x in tables] or [np.zeros(0, kind)], axis=None)
         self.log = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -116,9 +117,9 @@ class CrossParser:
             flat[w * WINDOW : w * WINDOW + len(t)] = self.symbol[np.frombuffer(t, np.uint8)]
         count = np.zeros((len(self.langs), first[-1]), np.int32)
         for a in range(0, int(first[-1]), 4096):
-            lines = np.ascontiguousarray(flat[a * WINDOW : (a + 4096) * WINDOW].reshape(-1, WINDOW).T).astype(np.int32)
+            lines = np.ascontiguousarray(flat[a * WINDOW : (a + 4096) * WINDOW].reshape(-1, WINDOW).T).astype(self.cells.dtype)
             for k, start in enumerate(self.start):
-                state, own = np.full(lines.shape[1], start, np.int32), np.zeros(lines.shape[1], np.int32)
+                state, own = np.full(lines.shape[1], start, lines.dtype), np.zeros(lines.shape[1], np.int32)
                 for line in lines:
                     cell = self.cells[state + line]
                     own += cell & 1
