@@ -1,12 +1,16 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from tallyframe.llm import bpe, langid, media, toxicity
+from tallyframe.llm import bpe, langid, linededup, media, sharding, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_sharding": sharding.op5_sharding,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_language_id": langid.op7_language_id,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op10_media_columns": media.op10_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": linededup.OP8_SQL,
+}

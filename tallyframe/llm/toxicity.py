@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, expm1, log, log1p
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import id_remainder, small_batches, table
 
-FIT_DOCS = 3000
+FIT_DOCS = 2000
 FIT_BYTES = 1 << 16
 MIN_DOCS = 3
 MIN_G2 = 15.0
 WORDS = 4096
 LEADS = (4, 5)
 ROUNDS = 400
+BUCKETS = 1 << 20
 _ENDS = b".!?\n\r"
 #: Sentence ends become line ends, what is in no word becomes a space.
 _TABLE = bytes(10 if b in _ENDS else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -58,6 +60,10 @@ def features(words: list[bytes]) -> set[tuple[int, bytes]]:
     return {(n, w[:n] if n else w) for w in words for n in (0, *LEADS) if len(w) > n}
 
 
+def _bucket(feature: tuple[int, bytes]) -> int:
+    return crc32(feature[1], feature[0]) % BUCKETS
+
+
 def softplus(z):
     return np.logaddexp(0, z)
 
@@ -114,26 +120,32 @@ def train(texts: list[str], toxic: list[int], weigh: tuple[float, float] = (1.0,
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, 20.0 if share else -20.0)
-    bags = [[features(s.split()) for s in folded(t).split(b"\n")] for t in texts]
-    pos, neg = Counter(), Counter()
-    for bag, label in zip(bags, toxic, strict=True):
-        (pos if label else neg).update(set().union(*bag))
-    n1, n0 = y.sum(), len(y) - y.sum()
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+
+    def g2(a, b) -> float:
+        g = 0.0
+        for seen, row, column in ((a, a + b, n1), (b, a + b, n0), (n1 - a, len(y) - a - b, n1), (n0 - b, len(y) - a - b, n0)):
+            if seen:
+                g += 2 * seen * log(seen * len(y) / (row * column))
+        return g
+
+    # documents with a feature of each bucket first, so that only features of promising buckets need be held
+    hits = np.zeros((2, BUCKETS), np.int32)
+    for t, label in zip(texts, toxic, strict=True):
+        hits[label][np.unique(np.fromiter(map(_bucket, features(folded(t).split())), np.int64))] += 1
+    good = {int(k) for k in np.flatnonzero(hits.sum(axis=0) >= MIN_DOCS) if g2(int(hits[1, k]), int(hits[0, k])) >= MIN_G2}
+    seen_in = (Counter(), Counter())
+    for t, label in zip(texts, toxic, strict=True):
+        seen_in[label].update(f for f in features(folded(t).split()) if _bucket(f) in good)
     ranked = []
-    for w in pos.keys() | neg.keys():
-        a, b = pos[w], neg[w]
-        if a + b >= MIN_DOCS:
-            g = 0.0
-            for seen, row, column in ((a, a + b, n1), (b, a + b, n0), (n1 - a, len(y) - a - b, n1), (n0 - b, len(y) - a - b, n0)):
-                if seen:
-                    g += 2 * seen * log(seen * len(y) / (row * column))
-            if g >= MIN_G2:
-                ranked.append((-g, w))
+    for f in seen_in[0].keys() | seen_in[1].keys():
+        if seen_in[0][f] + seen_in[1][f] >= MIN_DOCS and (g := g2(seen_in[1][f], seen_in[0][f])) >= MIN_G2:
+            ranked.append((-g, f))
     vocabulary = {w: i for i, (_, w) in enumerate(sorted(ranked)[:WORDS])}
     doc_of, plain, word, sentence = [], np.zeros(len(y)), [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            own = vocabulary.keys() & words
+    for d, t in enumerate(texts):
+        for words in map(bytes.split, folded(t).split(b"\n")):
+            own = vocabulary.keys() & features(words)
             if own:
                 word += map(vocabulary.__getitem__, own)
                 sentence += [len(doc_of)] * len(own)
