@@ -209,7 +209,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = r"""
 lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as nr
   from documents),
 keyed as (
   select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
