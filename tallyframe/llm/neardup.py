@@ -17,7 +17,7 @@
 5. Classes are the connected components of the links, found by alternating large and small stars.
 
 Nothing emits all pairs of a group whose members link: n near copies make n - 1 comparisons a
-band. With 12 bands of 3 a pair of similarity 0.8 shares a bucket with probability 0.9998.
+band. With 16 bands of 3 a pair of similarity 0.8 shares a bucket with probability 0.99999.
 
 Defined results: null text is the empty text; texts without words are duplicates of equal texts
 only; texts of fewer than WORDS words are one shingle. Rows that share an id are one node, so of
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from tallyframe.session import cut
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 16, 3
 HASHES = BANDS * ROWS
 SKETCH = 1 << 18
 SKETCH_CELLS = 1024
@@ -256,7 +257,7 @@ def signatures(df: DataFrame, weights, doc_id: str, text: str) -> DataFrame:
             low[:, :HASHES] = (out & _U(255)).astype(np.uint8)
             t = np.frombuffer(b"".join(xxhash.xxh3_128_digest((x or "").encode()) for x in texts), "<i8").reshape(-1, 2)
             none = pa.array(sizes == 0)
-            bands = [pa.compute.if_else(none, pa.scalar(None, pa.int64()), pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64))) for i in range(BANDS)]
+            bands = [pc.if_else(none, pa.scalar(None, pa.int64()), pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64))) for i in range(BANDS)]
             packed = low.view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(t[:, 0]), pa.array(t[:, 1]), *bands, *(pa.array(packed[:, i]) for i in range(len(_BYTES)))], names=names)
 

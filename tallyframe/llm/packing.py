@@ -22,9 +22,9 @@ id are packed separately, as if they were different documents. An empty table gi
 from __future__ import annotations
 
 import json
-import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyframe.llm.arrowtools import small_batches, table
+from tallyframe.llm.arrowtools import small_batches, steps, table
 from tallyframe.session import cut
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 WINDOW = 4096
-STEP = 32
-DEPTH = 4
+STEP = 16
+DEPTH = 3
 #: Words whose ids a worker remembers; emptied when full, which changes no result.
 REMEMBERED = 400_000
 
@@ -53,8 +53,8 @@ class WordEncoder:
     """Ids of whole texts, little-endian unsigned 32-bit, by the tokenizer file; each word is encoded once.
 
     The file's steps are applied here to whole texts (normal form C, lower case by code point,
-    the splitting pattern), and its BPE to words that aren't remembered. ``specials`` are strings
-    of special tokens; in a text they are ordinary text.
+    the splitting pattern), and its BPE to words that aren't remembered. Strings of special
+    tokens are ordinary text.
     """
 
     def __init__(self, path: str = WORDS):
@@ -68,23 +68,28 @@ class WordEncoder:
         self.words = Tokenizer.from_str(json.dumps(spec))
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
+    def pieces(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        pieces = self.split(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            return self._learn(pieces)
+        return self.split(text.lower())
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
-    def _learn(self, pieces: list[str]) -> bytes:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Of several texts at once; words that none of them had before are encoded together."""
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        new = list(set(pieces).difference(self.known))
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.words.encode_batch(new, add_special_tokens=False), strict=True)}
-        self.known |= {sys.intern(w): x for w, x in fresh.items() if len(w) <= 64}
-        both = fresh.get, self.known.get
-        return b"".join([both[1](p) or both[0](p) for p in pieces])
+        split = [self.pieces(t) for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        for w, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+        get = self.known.__getitem__
+        done = [b"".join(map(get, p)) for p in split]
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+        return done
 
 
 @lru_cache(2)
@@ -174,13 +179,13 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, path: str, end: int, win
     small_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = word_encoder(path).encode, TaskContext.get().partitionId()
+        encode, part = word_encoder(path).encode_all, TaskContext.get().partitionId()
         last, seen = np.array([end], "<u4").tobytes(), {}
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "units", "part", "nth"]
-        for b in batches:
+        for b in steps(batches, "text", 1 << 20):
             rows = []
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = (encode(x) if x else b"") + last
+            for d, x in zip(b.column(0).to_pylist(), encode([x or "" for x in b.column(1).to_pylist()]), strict=True):
+                ids = x + last
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     length = min(window, total - start)
