@@ -31,13 +31,13 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm.arrowtools import small_batches, steps, table
+from tallyframe.llm.splitting import splitter
 from tallyframe.session import cut
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -46,7 +46,7 @@ WINDOW = 4096
 STEP = 16
 DEPTH = 3
 #: Words whose ids a worker remembers; emptied when full, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 class WordEncoder:
@@ -61,7 +61,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        self.split = splitter(parts[0]["pattern"]["Regex"])
         spec["normalizer"] = None
         spec["pre_tokenizer"] = parts[1]
         spec["added_tokens"] = []
