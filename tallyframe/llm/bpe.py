@@ -25,15 +25,15 @@ from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import small_batches, table
+from tallyframe.llm.splitting import splitter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces whose ids a worker remembers; the memory is emptied when full, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Pairs of tokens whose stability a worker remembers.
 PAIRS = 1_000_000
 
@@ -61,6 +61,8 @@ class Vocabulary:
                 self.merged[parts[0], parts[1]] = rank
         self.reachable = {self.bytes_of[r]: r for r in self.halves}
         self.longest = max(map(len, self.reachable))
+        #: Reachable tokens by their bytes, and -1 for bytes that only begin one.
+        self.begun = {t[:n]: -1 for t in self.reachable for n in range(1, len(t))} | self.reachable
 
     def _merge(self, token: bytes, below: int) -> list[int]:
         """Ranks of the parts after all merges whose rank is under ``below``."""
@@ -125,16 +127,23 @@ class PrefixEncoder:
         return self._extend()
 
     def _extend(self) -> PrefixEncoder:
-        reach, stable, last = self.v.reachable.get, self.v.is_stable, self.last
-        data, longest, bytes_of = bytes(self.data), self.v.longest, self.v.bytes_of
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = reach(data[start:end])
-                if token is not None and (start == 0 or stable(last[start - 1], token)):
-                    last.append(token)
+        v, last, data = self.v, self.last, bytes(self.data)
+        begun, stable, known = v.begun.get, v.is_stable, v.stable.get
+        done, n = len(last), len(data)
+        last += [-1] * (n - done)
+        # every token from each place on; of those that end at one place the longest come first
+        for start in range(max(0, done - v.longest + 1), n):
+            left = last[start - 1] if start else -1
+            for end in range(start + 1, n + 1):
+                token = begun(data[start:end])
+                if token is None:
                     break
-            else:
-                raise ValueError(f"no token ends at byte {end}: {bytes_of.get(0)!r}")
+                if token >= 0 and end > done and last[end - 1] < 0:
+                    if start:
+                        fits = known(left << 20 | token)
+                        if not (stable(left, token) if fits is None else fits):
+                            continue
+                    last[end - 1] = token
         return self
 
     def ids(self) -> list[int]:
@@ -151,25 +160,25 @@ class Encoder:
 
     def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN):
         self.vocabulary = Vocabulary(path)
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.split = splitter(pattern)
+        self.known: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def piece(self, piece: str) -> list[int]:
         raw = piece.encode()
         whole = self.vocabulary.ranks.get(raw)
-        return (whole,) if whole is not None else tuple(PrefixEncoder(self.vocabulary).append(raw).ids())
+        return [whole] if whole is not None else PrefixEncoder(self.vocabulary).append(raw).ids()
 
     def encode(self, text: str) -> array:
-        known, out = self.known, array("I")
-        for p in self.split(text):
-            ids = known.get(p)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self.piece(p)
-                if len(p) <= 64:
-                    known[p] = ids
-            out.extend(ids)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        pieces, known = self.split(text), self.known
+        new = set(pieces).difference(known)
+        for p in new:
+            known[p] = array("I", self.piece(p)).tobytes()
+        out = array("I", b"".join(map(known.__getitem__, pieces)))
+        for p in new:
+            if len(p) > 64:
+                del known[p]
         return out
 
     def decode(self, ids) -> bytes:
