@@ -12,8 +12,10 @@
 3. Equal texts are one node. Every member of a bucket is compared with the bucket's smallest node,
    by the exact weighted Jaccard similarity of whole texts; those of at least THRESHOLD link.
 4. Buckets whose members aren't one class by then are searched once more: all their pairs of
-   different classes are compared by samples, in blocks of BLOCK nodes, and pairs that agree in
-   HASHES / 2 of them (at a similarity of 0.8 all but one in 10^4 do) are compared exactly.
+   different classes are compared by samples, in blocks of BLOCK nodes, each pair in the first bucket
+   that it shares. Nodes with a partner that agrees in LIKELY samples (at a similarity of 0.8 all but
+   one in 5000 do) are then compared exactly with the others of their block, and only links that
+   join classes leave the task.
 5. Classes are the connected components of the links, found by alternating large and small stars.
 
 Nothing emits all pairs of a group whose members link: n near copies make n - 1 comparisons a
@@ -44,7 +46,9 @@ BANDS, ROWS = 16, 3
 HASHES = BANDS * ROWS
 SKETCH = 1 << 18
 SKETCH_CELLS = 1024
-BLOCK = 2048
+BLOCK = 512
+#: Of HASHES; a pair of similarity 0.8 agrees in 38 on average, with a deviation of 2.8.
+LIKELY = 29
 #: Members of a leader that one group of comparisons takes.
 MEMBERS = 512
 #: Shingles that one vectorised step samples from.
@@ -291,8 +295,7 @@ def verify(pairs: DataFrame, docs: DataFrame, weights, threshold: float = THRESH
                     group, leader, total = (a, nth), (hashes[own].copy(), w[own].copy()), float(w[own].sum())
                 elif group == (a, nth) and similarity(leader, (hashes[own], w[own]), total, float(w[own].sum())) >= threshold:
                     found.append((a, d))
-            a, d = zip(*found, strict=True) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64())], names=["a", "b"])
+            yield _pairs_table(found)
 
     return rows.select("a", "nth", "member", "id", "text").mapInArrow(work, "a long, b long").distinct()
 
@@ -326,58 +329,103 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def _split_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of nodes of different classes in a bucket whose samples agree in half; buckets: (key, n, rep, class, leader, s0..)."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, list]]:
+    """Runs of equal (key, i, j) of sorted rows, as lists by column."""
+    held: dict[str, list] = {n: [] for n in names}
+    now = None
+    for b in batches:
+        cols = {n: b.column(n).to_pylist() for n in names}
+        at = 0
+        for k, g in enumerate(zip(cols["key"], cols["i"], cols["j"], strict=True)):
+            if g != now:
+                for n in names:
+                    held[n] += cols[n][at:k]
+                if now is not None:
+                    yield held
+                held, now, at = {n: [] for n in names}, g, k
+        for n in names:
+            held[n] += cols[n][at:]
+    if now is not None:
+        yield held
+
+
+def _pairs_table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _likely(buckets: DataFrame) -> DataFrame:
+    """(key, i, j, own, rep, class) of the nodes that have a likely partner of another class in their pair of blocks.
+
+    buckets: (key, band, n, rep, class, s0..), only those of several classes.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = (
-        buckets.withColumn("own", own)
+        buckets.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "class", "leader", *_BYTES)
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "rep", "class", *_BYTES)
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "rep")
     )
-
-    def compare(group: list[np.ndarray]) -> list[tuple[int, int]]:
-        i, j, own, rep, cls, leader = (np.concatenate([g[k] for g in group]) for k in range(1, 7))
-        low = np.stack([np.concatenate([g[k] for g in group]) for k in range(7, 7 + len(_BYTES))], axis=1).view(np.uint8)[:, :HASHES]
-        left = np.flatnonzero(own == i[0])
-        right = np.flatnonzero(own == j[0])
-        found = []
-        for x in left.tolist():
-            agree = (low[right] == low[x]).sum(axis=1) >= HASHES // 2
-            agree &= (cls[right] != cls[x]) & (rep[right] != leader[x]) & (rep[x] != leader[x])
-            if i[0] == j[0]:
-                agree &= rep[right] > rep[x]
-            found += [(min(int(rep[x]), y), max(int(rep[x]), y)) for y in rep[right[agree]].tolist()]
-        return found
-
-    names = ["key", "i", "j", "own", "rep", "class", "leader", *_BYTES]
+    names = ["key", "i", "j", "band", "own", "rep", "class", *_BYTES]
+    kept = ["key", "i", "j", "own", "rep", "class"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True) if pairs else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for g in _groups(batches, names):
+            low = np.stack([np.array(g[c], np.int64) for c in _BYTES], axis=1).view(np.uint8)[:, :HASHES]
+            own, cls, band = np.array(g["own"]), np.array(g["class"]), g["band"][0]
+            left, right = np.flatnonzero(own == g["i"][0]), np.flatnonzero(own == g["j"][0])
+            hit = np.zeros(len(own), bool)
+            for x in left:
+                same = low[right] == low[x]
+                earlier = same[:, : band * ROWS].reshape(len(right), band, ROWS).all(axis=2).any(axis=1)
+                good = (same.sum(axis=1) >= LIKELY) & ~earlier & (cls[right] != cls[x])
+                if good.any():
+                    hit[x] = True
+                    hit[right[good]] = True
+            at = np.flatnonzero(hit).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([g[c][k] for k in at], pa.int32() if c in ("i", "j", "own") else pa.int64()) for c in kept], names=kept)
+
+    return dealt.mapInArrow(work, "key long, i int, j int, own int, rep long, class long")
+
+
+def _linked(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links (a, b) that join classes within the pairs of blocks of ``nodes``, by exact similarity."""
+    names = ["key", "i", "j", "own", "rep", "class", "text"]
+    rows = nodes.join(texts, nodes.rep == texts.id).select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in names]
-            if not batch.num_rows:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = weights.value
+        for g in _groups(batches, names):
+            hashes, counts, sizes = shingles(g["text"])
+            if not len(hashes) or not sizes.all():
                 continue
-            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            pairs = []
-            for x, y in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
-                part = [c[x:y].copy() for c in cols]
-                if held and any(held[0][k][0] != part[k][0] for k in range(3)):
-                    pairs += compare(held)
-                    held = []
-                held.append(part)
-            yield out(pairs)
-        if held:
-            yield out(compare(held))
-
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+            w = weigh(hashes, counts)
+            known, at = np.unique(hashes, return_inverse=True)
+            start = np.cumsum(sizes) - sizes
+            total = np.add.reduceat(w, start)
+            own, parent = np.array(g["own"]), {c: c for c in g["class"]}
+            right = np.flatnonzero(own == g["j"][0])
+            dense, found = np.zeros(len(known)), []
+
+            def root(c: int, parent=parent) -> int:
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for x in np.flatnonzero(own == g["i"][0]).tolist():
+                span = slice(start[x], start[x] + sizes[x])
+                dense[at[span]] = w[span]
+                both = np.add.reduceat(np.minimum(w, dense[at]), start)
+                dense[at[span]] = 0
+                for y in right[(both >= threshold * (total + total[x] - both))[right]].tolist():
+                    a, b = root(g["class"][x]), root(g["class"][y])
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        found.append((min(g["rep"][x], g["rep"][y]), max(g["rep"][x], g["rep"][y])))
+            yield _pairs_table(found)
+
+    return rows.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -387,15 +435,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     signed = cut(signatures(docs, weights, "id", "text"))
     reps = cut(signed.groupBy("t0", "t1").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in (*_BAND, *_BYTES)]))
-    banded = reps.filter("b0 is not null").select("rep", *_BYTES, F.explode(F.array(*_BAND)).alias("key"))
+    banded = reps.filter("b0 is not null").select("rep", *_BYTES, F.posexplode(F.array(*_BAND)).alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = cut(banded.join(buckets, "key"))
+    texts = cut(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"))
     star = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(verify(star, docs, weights, threshold))
+    links = cut(verify(star, texts, weights, threshold))
     classes = components(links)
-    classed = members.join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root")
+    classed = members.join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root", "leader")
     split = classed.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).filter("_x <> _y").select("key")
-    more = cut(verify(_split_pairs(classed.join(split, "key")), docs, weights, threshold))
+    more = cut(_linked(_likely(classed.join(split, "key")), texts, weights, threshold))
     if not more.isEmpty():
         classes = components(links.unionByName(more))
     by_text = reps.select("t0", "t1", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("t0", "t1", F.coalesce("root", "rep").alias("class_id"))
