@@ -430,14 +430,13 @@ def anomaly_merge_dedup(spark, sf_dir):
     return anomalies.merge_candidates(a.unionByName(b)).withColumn("score", F.round("score", 6))
 
 
-@query("""
-with r as (select 'p_brand:' || p_brand as graph_entity_id, row_number() over (order by p_retailprice desc, p_partkey) - 1 as place from part order by p_retailprice desc, p_partkey limit 50)
+@query(r"""
+with r as (select 'p_brand:' || regexp_replace(trim(p_brand), '[^\w.-]+', '_', 'g') as graph_entity_id, row_number() over (order by p_retailprice desc, p_partkey) - 1 as place from part order by p_retailprice desc, p_partkey limit 50)
 select graph_entity_id, array_to_string(list(place order by place), ',') as positions from r group by graph_entity_id
 """)
 def entity_index(spark, sf_dir):
     top = table(spark, sf_dir, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(50)
-    records = top.select(F.regexp_replace(scalars.graph_id("p_brand", F.col("p_brand")), "_", " ").alias("graph_entity_id"), F.col("p_retailprice").alias("score"), F.col("p_partkey").alias("seq"))
-    records = records.withColumn("graph_entity_id", F.regexp_replace("graph_entity_id", "^p brand", "p_brand"))
+    records = top.select(scalars.graph_id("p_brand", F.col("p_brand")).alias("graph_entity_id"), F.col("p_retailprice").alias("score"), F.col("p_partkey").alias("seq"))
     return anomalies.entity_index(records).select("graph_entity_id", F.array_join("positions", ",").alias("positions"))
 
 
