@@ -20,31 +20,42 @@ from tallyframe.session import shared_path
 FOREIGN_BITS = 6.5
 
 
+def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with columns that a stage's operator would replace renamed, and what selects the documents' columns again."""
+    names = {c: f"_doc{i}_{c}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*[quoted(c).alias(n) for c, n in names.items()]), [quoted(n).alias(c) for c, n in names.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).filter("predicted = 0").select(docs.columns)
+    rows, back = _aside(docs, ("score", "predicted", "n_sentences", "offending"))
+    return toxicity.score_documents(rows, model).filter("predicted = 0").select(*back)
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have letters and resemble one of the labelled languages."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.filter((F.col("lang_pred") != langid.NOTHING) & (F.col("bits") <= FOREIGN_BITS)).select(docs.columns)
+    rows, back = _aside(docs, ("lang_pred", "score", "bits"))
+    found = langid.identify(rows, langid.fit(docs))
+    return found.filter((F.col("lang_pred") != langid.NOTHING) & (F.col("bits") <= FOREIGN_BITS)).select(*back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that smaller ids hold too; ``n_chars`` follows."""
-    done = linededup.drop_repeated_lines(docs)
+    rows, back = _aside(docs, ("n_lines", "n_dropped", "kept_text", "drops"))
+    done = linededup.drop_repeated_lines(rows)
     changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return done.withColumns(changed).select(docs.columns)
+    return done.withColumns(changed).select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each class; documents without an id stay."""
     gone = neardup.near_duplicates(docs).filter("class_id <> id").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, back = _aside(docs, ())
+    return rows.join(gone, "doc_id", "left_anti").select(*back)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch sent to Python. Long texts are common, so small batches keep workers small.
 BATCH_ROWS = 512
@@ -43,3 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_remainder(column: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns of these names, in whatever case."""
+    low = {n.lower() for n in names}
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in low])
+
+
+def extended(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``df`` and then ``fields``."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])

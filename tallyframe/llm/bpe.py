@@ -26,9 +26,8 @@ from functools import lru_cache
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallyframe.llm.arrowtools import small_batches, table
+from tallyframe.llm.arrowtools import extended, small_batches, table, without
 from tallyframe.llm.splitting import splitter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -194,7 +193,7 @@ def encoder(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Enco
 def encode_column(df: DataFrame, text: str = "text", path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Adds ``ids`` (array<int>)."""
     small_batches(df.sparkSession)
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "ids"])
+    kept = without(df, ["ids"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern).encode
@@ -207,7 +206,7 @@ def encode_column(df: DataFrame, text: str = "text", path: str = RANKS, pattern:
             values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, values)], names=[*b.schema.names, "ids"])
 
-    return kept.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<int>"]))
+    return kept.mapInArrow(work, extended(kept, "ids array<int>"))
 
 
 def _running(ids: list[array]) -> list[int]:
@@ -221,7 +220,7 @@ def _running(ids: list[array]) -> list[int]:
 def decode_column(df: DataFrame, ids: str = "ids", path: str = RANKS) -> DataFrame:
     """Adds ``decoded`` (binary); null ids give null."""
     small_batches(df.sparkSession)
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "decoded"])
+    kept = without(df, ["decoded"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = encoder(path).decode
@@ -231,7 +230,7 @@ def decode_column(df: DataFrame, ids: str = "ids", path: str = RANKS) -> DataFra
             out = [None if gone else decode(whole[i:j]) for i, j, gone in zip(ends, ends[1:], null, strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return kept.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded binary"]))
+    return kept.mapInArrow(work, extended(kept, "decoded binary"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

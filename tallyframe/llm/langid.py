@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrowtools import id_remainder, small_batches, steps, table
+from tallyframe.llm.arrowtools import extended, id_remainder, small_batches, steps, table, without
 
 SAMPLE_BYTES = 24_000
 SAMPLE_DOCS = 256
@@ -165,7 +165,7 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFram
     """Adds ``lang_pred``, ``score`` (0 to 1: how far the next best language is behind) and ``bits`` (of the winner)."""
     small_batches(df.sparkSession)
     names = ["lang_pred", "score", "bits"]
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    kept = without(df, names)
     shared = df.sparkSession.sparkContext.broadcast(parser)  # bounded by SAMPLE_BYTES and the number of languages
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFram
                     score[i] = float(1 - each[0] / each[1]) if len(each) > 1 and each[1] > 0 else 1.0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*b.schema.names, *names])
 
-    return kept.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, bits double"]))
+    return kept.mapInArrow(work, extended(kept, "lang_pred string, score double, bits double"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

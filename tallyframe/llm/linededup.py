@@ -22,7 +22,6 @@ the lines that it must lose. The input's columns are kept; ``n_lines``, ``n_drop
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrowtools import small_batches, table
+from tallyframe.llm.arrowtools import extended, small_batches, table, without
 from tallyframe.session import cut
 
 MIN_POINTS = 10
@@ -177,7 +176,7 @@ def line_drops(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keys_i
 def drop_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``n_lines``, ``n_dropped`` and ``kept_text``."""
     names = ["n_lines", "n_dropped", "kept_text"]
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    kept = without(df, [*names, "drops"])
     drops = line_drops(kept, doc_id, text).select(F.col("doc_id").alias("_doc"), "drops")
     joined = kept.join(drops, F.col(f"`{doc_id}`").cast("long") == F.col("_doc"), "left").drop("_doc")
     fields = [f for f in joined.schema if f.name != "drops"]
@@ -198,7 +197,7 @@ def drop_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text
                 names=[*(f.name for f in fields), *names],
             )
 
-    return joined.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_lines long, n_dropped long, kept_text string"]))
+    return joined.mapInArrow(work, extended(joined.drop("drops"), "n_lines long, n_dropped long, kept_text string"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrowtools import small_batches, steps, table
+from tallyframe.llm.arrowtools import extended, small_batches, steps, table, without
 
 UNIT = 576
 #: Blocks of a restart interval that the writer makes; UNIT is a multiple.
@@ -357,10 +357,8 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
 def _added(df: DataFrame, work, fields: str, names: list[str]) -> DataFrame:
     """``df`` through ``work``, with the columns ``names`` at its end in place of any that it has."""
     small_batches(df.sparkSession)
-    low = {n.lower() for n in names}
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), fields])
-    return kept.mapInArrow(work, schema)
+    kept = without(df, names)
+    return kept.mapInArrow(work, extended(kept, fields))
 
 
 def store_payloads(df: DataFrame, text: str = "text") -> DataFrame:

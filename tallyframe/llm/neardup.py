@@ -103,7 +103,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = np.bincount(doc, minlength=len(raw))
     m = len(words)
     mixed = words * _PLACE[0]
-    for j in range(1, WORDS):
+    for j in range(1, min(WORDS, m)):
         mixed[: m - j] += np.where(doc[j:] == doc[: m - j], words[j:] * _PLACE[j], _U(0))
     whole = np.zeros(m, bool)
     whole[: m - WORDS + 1] = doc[WORDS - 1 :] == doc[: m - WORDS + 1] if m >= WORDS else False

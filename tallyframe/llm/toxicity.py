@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrowtools import id_remainder, small_batches, table
+from tallyframe.llm.arrowtools import extended, id_remainder, small_batches, table, without
 
 FIT_DOCS = 2000
 FIT_BYTES = 1 << 16
@@ -203,7 +203,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text") -> DataFram
     """Adds ``score``, ``predicted``, ``n_sentences`` and ``offending`` (first byte, end and score of each such sentence)."""
     small_batches(df.sparkSession)
     names = ["score", "predicted", "n_sentences", "offending"]
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    kept = without(df, names)
     shared = df.sparkSession.sparkContext.broadcast(model)  # WORDS words at most
     span = pa.struct([("start_byte", pa.int32()), ("end_byte", pa.int32()), ("score", pa.float64())])
 
@@ -223,7 +223,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text") -> DataFram
             )
 
     fields = "score double, predicted int, n_sentences int, offending array<struct<start_byte:int,end_byte:int,score:double>>"
-    return kept.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), fields]))
+    return kept.mapInArrow(work, extended(kept, fields))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

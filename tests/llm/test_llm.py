@@ -1,0 +1,633 @@
+"""Training-data operators against brute force, exact round trips and held-out accuracy; and what each does with odd input."""
+
+import hashlib
+import math
+import random
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import tiktoken
+from public_tokenizers import PATTERN
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tallyframe.llm import ann, bpe, langid, linededup, media, neardup, packing, sharding, splitting, tokencounts, toxicity
+
+WORDS = [a + b + c for a in ("ka", "lo", "mi", "zu", "te", "ra") for b in ("n", "st", "rv", "l") for c in ("a", "o", "eth", "ing", "um")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def odd_docs(spark, rows=(), more="lang string, source string, n_chars long"):
+    """Documents with nulls, empty texts, repeated rows and a column named like an output."""
+    base = [
+        (1, None), (2, ""), (3, "  \n\t"), (4, "one"), (5, "one"), (5, "one"), (6, "é" * 3000), (None, "a text without an id here"), (7, "word " * 20_000),
+    ]
+    full = [(*r, "en", "s", 0, "x") for r in [*base, *rows]]
+    return spark.createDataFrame(full, f"doc_id long, text string, {more}, score string")
+
+
+def empty(spark):
+    return odd_docs(spark).limit(0)
+
+
+# --- 1 near-duplicates ---------------------------------------------------------------------------
+
+
+def shingle_set(text):
+    import re
+
+    w = re.findall(r"[^\W_]+", text.lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def classes_by_force(docs, threshold=0.8):
+    """Components of weighted Jaccard, by dictionaries of counted shingles and all pairs."""
+    import re
+
+    bags = {}
+    for i, t in docs.items():
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    df = Counter(s for b in bags.values() for s in b)
+    n = len(docs)
+    weight = {s: 1 + min(1, max(0, math.log((1 + n) / (1 + d)) / math.log1p(n))) for s, d in df.items()}
+    parent = {i: i for i in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(docs)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = sum(min(bags[a][s], bags[b][s]) * weight[s] for s in bags[a].keys() & bags[b].keys())
+            whole = sum(c * weight[s] for s, c in bags[a].items()) + sum(c * weight[s] for s, c in bags[b].items()) - both
+            if (docs[a] or "") == (docs[b] or "") or (whole and both / whole >= threshold):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(4)
+    docs, at = {}, 0
+    for _ in range(25):
+        base = prose(rng, rng.randint(30, 200)).split()
+        for _ in range(rng.randint(1, 8)):
+            w = list(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 9))):
+                w[rng.randrange(len(w))] = rng.choice(WORDS) + "x"
+            docs[at] = " ".join(w)
+            at += 1
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    want = classes_by_force(docs)
+    assert got == want and len(set(want.values())) < len(docs)
+
+
+def test_near_duplicates_blocks_find_links_between_members(spark, monkeypatch):
+    """A chain: each document is near the next but far from the bucket's first; blocks smaller than the bucket."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(1)
+    w = prose(rng, 120).split()
+    docs = {}
+    for i in range(24):
+        docs[i] = " ".join(w)
+        w[5 * i % 120] = f"new{i}"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == classes_by_force(docs) and len(set(got.values())) == 1
+
+
+def test_near_duplicates_of_odd_input(spark):
+    rows = neardup.near_duplicates(odd_docs(spark)).collect()
+    got = {r.id: r.class_id for r in rows}
+    assert len(rows) == 7 and set(got) == {1, 2, 3, 4, 5, 6, 7}
+    assert got[1] == got[2] == 1 and got[3] == 3 and got[4] == got[5] == 4 and got[6] == 6
+    assert neardup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_shingles_and_samples():
+    h, c, s = neardup.shingles(["The quick, brown fox jumps over it", "", None, "one two", "the QUICK brown fox jumps"])
+    assert s.tolist() == [3, 0, 0, 1, 1] and h[-1] in h[:3] and c.tolist() == [1] * 5
+    rng = random.Random(3)
+    base = prose(rng, 600).split()
+    other = list(base)
+    for i in range(0, 600, 25):
+        other[i] = "zz" + str(i)
+    h, c, s = neardup.shingles([" ".join(base), " ".join(other)])
+    w = neardup.Weights(2, np.zeros(neardup.SKETCH))(h, c)
+    exact = neardup.similarity((h[: s[0]], w[: s[0]]), (h[s[0] :], w[s[0] :]), w[: s[0]].sum(), w[s[0] :].sum())
+    drawn = neardup.samples(h, w, s)
+    assert abs((drawn[0] == drawn[1]).mean() - exact) < 0.25
+
+
+def test_document_frequencies_count_every_document(spark):
+    df = spark.createDataFrame([(i, "a b c d e") for i in range(50)] + [(99, "")], "doc_id long, text string").repartition(7)
+    n, sketch = neardup.document_frequencies(df, "text")
+    assert n == 51 and sketch.sum() == 50 and sketch.max() == 50
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 101), (102, 100)]
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 2 token counts ------------------------------------------------------------------------------
+
+
+def test_ledger_commits_once_and_adds_up(spark, tmp_path):
+    ledger = tokencounts.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.totals().count() == 0
+    df = spark.createDataFrame([("a", "en", "x y z"), ("a", None, None), ("b", "en", "q")], "source string, lang string, text string")
+    n = {"words-v1": tokencounts.token_count(F.col("text"), "words-v1")}
+    assert ledger.commit("one", tokencounts.changes(df, "insert", new=n)) and not ledger.commit("one", tokencounts.changes(df, "insert", new=n))
+    ledger.commit("two", tokencounts.changes(df.filter("source = 'a'"), "revise", old=n, new={"words-v1": n["words-v1"] * 2}))
+    ledger.commit("three", tokencounts.changes(df.filter("source = 'b'"), "delete", old=n))
+    want = {("a", "en"): (1, 6), ("a", None): (1, 0)}
+    assert {(r.source, r.lang): (r.documents, r.tokens) for r in ledger.totals().collect()} == want
+    ledger.compact()
+    again = tokencounts.Ledger(spark, str(tmp_path / "ledger"))
+    assert again.committed() == {"one", "two", "three"} and not again.commit("two", tokencounts.changes(df, "insert", new=n))
+    assert {(r.source, r.lang): (r.documents, r.tokens) for r in again.totals().collect()} == want
+    again.commit("four", tokencounts.changes(df.filter("source = 'b'"), "insert", new=n))
+    again.compact()
+    assert {r.source for r in again.totals().collect()} == {"a", "b"}
+
+
+def test_ledger_batches_in_any_order_and_bad_ones(spark, tmp_path):
+    df = spark.createDataFrame([("a", "en", "x y")], "source string, lang string, text string")
+    n = {"words-v1": tokencounts.token_count(F.col("text"), "words-v1")}
+    ledger = tokencounts.Ledger(spark, str(tmp_path / "l"))
+    ledger.commit("delete", tokencounts.changes(df, "delete", old=n))
+    assert ledger.totals().first().tokens == -2
+    ledger.commit("insert", tokencounts.changes(df, "insert", new=n))
+    assert ledger.totals().count() == 0
+    with pytest.raises(Exception, match="unknown change"):
+        ledger.commit("bad", tokencounts.changes(df, "steal", new=n))
+    assert ledger.committed() == {"delete", "insert"}
+    assert ledger.commit("nothing", tokencounts.changes(df.limit(0), "insert", new=n))
+
+
+# --- 3 toxicity ----------------------------------------------------------------------------------
+
+
+def toxic_corpus(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        sentences = [prose(rng, rng.randint(4, 12)).capitalize() + "." for _ in range(rng.randint(3, 12))]
+        bad = i % 5 == 0
+        if bad:
+            k = rng.randrange(len(sentences))
+            w = sentences[k].split()
+            w.insert(1, rng.choice(("vileo", "vilean", "scumo", "scumix")))
+            sentences[k] = " ".join(w)
+        out.append((" ".join(sentences), int(bad), k if bad else None))
+    return out
+
+
+def test_toxicity_held_out_and_sentences():
+    model = toxicity.train(*zip(*((t, y) for t, y, _ in toxic_corpus(600, 1)), strict=True))
+    held = toxic_corpus(200, 2)
+    assert np.mean([int(model.score(t)[0] >= 0.5) == y for t, y, _ in held]) > 0.97
+    for t, y, k in held:
+        score, n, bad = model.score(t)
+        assert 0 <= score <= 1
+        if y and score >= 0.5:
+            start, end, p = max(bad, key=lambda b: b[2])
+            assert any(w in t.encode()[start:end].decode() for w in ("vile", "scum")) and t.encode()[:start].count(b".") == k
+
+
+def test_toxicity_of_odd_input(spark):
+    model = toxicity.Model({0: {b"bad": 9.0}}, -5.0)
+    docs = odd_docs(spark, [(20, "Fine. A BAD one!\nFine")]).withColumn("a very odd, name", F.struct(F.lit(1).alias("x y"), F.lit(None).cast("int").alias("z")))
+    out = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    assert out[20].predicted == 1 and [(b.start_byte, b.end_byte) for b in out[20].offending] == [(5, 15)]
+    assert out[1].score == out[2].score and out[1].predicted == 0 and out[1].n_sentences == 0 and out[20].lang == "en"
+    assert toxicity.score_documents(empty(spark), model).count() == 0
+    labels = spark.createDataFrame([(4, 1, 1), (4, 0, 0), (None, 0, 1), (20, 0, None), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs, labels).bias == 20.0
+    assert toxicity.fit(docs, labels.limit(0)).bias == -20.0
+    assert toxicity.train([], []).score("x")[0] < 0.01
+
+
+# --- 4 packing -----------------------------------------------------------------------------------
+
+
+def test_words_encode_as_the_library_does():
+    own, lib = packing.WordEncoder(), Tokenizer.from_file(packing.WORDS)
+    lib.encode_special_tokens = True
+    rng = random.Random(5)
+    letters = "abcXYZ" * 3 + " \n\t.,!'0123éßÇ漢и😀<|>ΑΣΆİǅﬁ½²\x1c\x00"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(50))) for _ in range(1500)] + ["", "<|endoftext|>", "x" * 500]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_plan_uses_the_histogram_exactly():
+    rng = np.random.default_rng(1)
+    for sizes in (8, 32):
+        h = rng.integers(0, 500, sizes)
+        plan = packing.plan_windows(h, 3)
+        used = np.zeros(sizes, int)
+        for shape, n in plan:
+            assert sum(shape) <= sizes and n > 0
+            for u in shape:
+                used[u - 1] += n
+        assert (used == h).all()
+    assert packing.plan_windows(np.zeros(8, int)) == []
+    assert {tuple(sorted(c)) for c in packing.combinations(6, 3)} == {(6,), (1, 5), (2, 4), (3, 3), (1, 1, 4), (1, 2, 3), (2, 2, 2)}
+
+
+def test_nnls_against_small_cases():
+    a = np.array([[1.0, 0.0, 1.0], [0.0, 1.0, 1.0]])
+    assert np.allclose(a @ packing.nnls(a, np.array([3.0, 5.0])), [3, 5])
+    assert packing.nnls(np.eye(2), np.array([-1.0, 2.0])).tolist() == [0, 2]
+
+
+def test_packing_places_every_id_once(spark):
+    rng = random.Random(6)
+    docs = odd_docs(spark, [(i, prose(rng, rng.choice((3, 40, 300, 2500)))) for i in range(100, 260)])
+    rows = packing.pack(docs).collect()
+    encode = packing.word_encoder().encode
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(encode(r.text or "") + struct.pack("<I", 2))
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for d, own in by_doc.items():
+        ids = texts[d][0]
+        assert len(texts[d]) * (len(ids) // 4) == sum(r.length for r in own)
+        for r in own:
+            assert r.doc_tokens == len(ids) // 4 and r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert 0 < at <= 4096
+    assert set(by_doc) == set(texts)
+    total = sum(r.length for r in rows)
+    assert total / (4096 * len(by_sequence)) > 0.9
+    assert packing.pack(empty(spark)).count() == 0
+
+
+# --- 5 sharding ----------------------------------------------------------------------------------
+
+
+def test_shards_match_the_mixture(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}" if i % 5 else None, i % 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, shard int")
+    out = sharding.interleave(df, "source", ["doc_id"]).collect()
+    sizes, by_source = Counter(r.shard for r in out), defaultdict(Counter)
+    for r in out:
+        by_source[r.source][r.shard] += 1
+    assert len(out) == 3000 and max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 24
+    for shard in sizes:
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sizes[shard]))
+    for s, counts in by_source.items():
+        n = sum(counts.values())  # at a cut every source is within half a row of its share, so positions are within half the number of sources
+        assert all(abs(counts[k] - n / 24) <= 1 + len(by_source) * n / 3000 for k in range(24)), (s, counts)
+    again = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df.repartition(9), "source", ["doc_id"], seed=5).collect()}
+    assert again == {r.doc_id: (r.shard, r.slot) for r in out}
+
+
+def test_sharding_of_odd_input(spark):
+    docs = odd_docs(spark)
+    out = sharding.interleave(docs.select("doc_id", "source", "text"), "source", ["doc_id", "text"]).collect()
+    assert len(out) == 9 and len({(r.shard, r.slot) for r in out}) == 9
+    assert sharding.interleave(empty(spark).select("doc_id", "source"), "source", ["doc_id"]).count() == 0
+
+
+# --- 6 byte-level BPE ----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    own = bpe.Encoder()
+    return own, tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.vocabulary.ranks, special_tokens={})
+
+
+def test_bpe_encodes_as_the_library_does(encoders):
+    own, lib = encoders
+    rng = random.Random(7)
+    letters = "abcdeXYZ" * 3 + "  \n\t.,!'0123éßÇ漢и😀<|>\x1c\x00"
+    tokens = [t.decode("utf8", "ignore") for t in rng.sample(list(own.vocabulary.ranks), 2000)]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["".join(rng.choice(tokens) for _ in range(4)) for _ in range(1500)] + ["", "a" * 400, " " * 300, "<|endoftext|>"]
+    for t in texts:
+        ids = own.encode(t)
+        assert ids.tolist() == lib.encode_ordinary(t) and own.decode(ids) == t.encode()
+
+
+def test_prefixes_after_appends_and_edits_equal_a_fresh_start(encoders):
+    own, _ = encoders
+    rng = random.Random(8)
+    e = bpe.PrefixEncoder(own.vocabulary)
+    for _ in range(200):
+        word = rng.choice(WORDS).encode() + rng.choice((b"", b" ", "é".encode(), b"\xff"))
+        if rng.random() < 0.5 or not e.data:
+            e.append(word)
+        else:
+            at = rng.randrange(len(e.data))
+            e.edit(at, rng.randrange(4), word)
+        assert e.ids() == bpe.PrefixEncoder(own.vocabulary).append(bytes(e.data)).ids()
+        if len(e.data) > 60:
+            e = bpe.PrefixEncoder(own.vocabulary)
+
+
+def test_bpe_columns(spark):
+    out = bpe.decode_column(bpe.encode_column(odd_docs(spark).withColumn("ids", F.lit("old")))).collect()
+    assert len(out) == 9 and all(bytes(r.decoded) == (r.text or "").encode() for r in out)
+    assert bpe.encode_column(empty(spark)).count() == 0
+    assert bpe.decode_column(spark.createDataFrame([(None,), ([],)], "ids array<int>")).filter("decoded is null").count() == 1
+
+
+def test_written_out_patterns_split_alike():
+    import regex
+
+    rng = random.Random(9)
+    letters = "abcABC019 \t\n\x0b\x0c\r\x1c\x00.,!?''strevmdléßöĀſ_-$漢"
+    for pattern in splitting.WRITTEN_OUT:
+        general, fast = regex.compile(pattern).findall, splitting.splitter(pattern)
+        for _ in range(3000):
+            t = "".join(rng.choice(letters) for _ in range(rng.randrange(25)))
+            assert general(t) == fast(t)
+
+
+# --- 7 language ID -------------------------------------------------------------------------------
+
+
+def language(rng, syllables, n):
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+TONGUES = {"aa": ["the", "ing", "on", "sh", "er"], "bb": ["éa", "que", "oi", "tre", "la"], "cc": ["漢", "字", "日", "本", "語"]}
+
+
+def test_phrases_equal_a_plain_greedy_parse():
+    rng = random.Random(10)
+    samples = {k: langid.normal(language(rng, s, 300)) for k, s in TONGUES.items()}
+    parser = langid.CrossParser(samples)
+    texts = [langid.normal(language(rng, s, n)) for s in TONGUES.values() for n in (1, 5, 200)] + [b"", b"zzz"]
+    got = parser.phrases(texts)
+    for t, row in zip(texts, got, strict=True):
+        for name, n in zip(parser.langs, row, strict=True):
+            count = 0
+            for w in range(0, len(t), langid.WINDOW):
+                part, i = t[w : w + langid.WINDOW], 0
+                while i < len(part):
+                    j = i + 1
+                    while j < len(part) and part[i : j + 1] in samples[name]:
+                        j += 1
+                    count, i = count + 1, j
+            assert n == count
+
+
+def test_languages_of_held_out_texts(spark):
+    rng = random.Random(11)
+    rows = [(i, language(rng, TONGUES[k], rng.randint(3, 80)), k) for i, k in enumerate(list(TONGUES) * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(df.filter("doc_id >= 90"), langid.fit(df.filter("doc_id < 90"))).collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.97 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_of_odd_input(spark):
+    docs = odd_docs(spark, [(30, "12 34!"), (31, "un deux trois")])
+    parser = langid.CrossParser({"fr": b"un deux trois quatre", "en": b"one two three four word"})
+    out = {r.doc_id: r for r in langid.identify(docs, parser).collect()}
+    assert [out[i].lang_pred for i in (1, 2, 3, 30, 31, 7)] == ["und", "und", "und", "und", "fr", "en"] and out[1].score == 0
+    nothing = langid.fit(empty(spark))
+    assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+    assert langid.identify(empty(spark), parser).count() == 0
+
+
+# --- 8 line dedup --------------------------------------------------------------------------------
+
+
+def lines_by_force(rows):
+    key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = defaultdict(set)
+    for d, t in rows:
+        if d is not None:
+            for s in (t or "").split("\n"):
+                holders[key(s)].add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [s for s in lines if d is None or len(key(s)) < 10 or len(holders[key(s)]) < 2 or min(holders[key(s)]) == d]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("keys", "probes"), [(linededup.KEYS_IN_SHARD, linededup.PROBES_IN_TASK), (7, 5)])
+def test_lines_equal_brute_force(spark, monkeypatch, keys, probes):
+    rng = random.Random(12)
+    lines = [prose(rng, 4) for _ in range(40)] + ["short", "ÉÉÉÉÉÉÉÉÉÉ", "éééééééééé", "ZZZZZZZZZZZZ", "  zzzzzzzzzzzz\t", " padded with nbsp", ""]
+    rows = [(i % 50 if i % 11 else None, "\n".join(rng.choice(lines) for _ in range(rng.randrange(8)))) for i in range(80)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept_text", F.lit("old"))
+    original = linededup.line_drops
+    monkeypatch.setattr(linededup, "line_drops", lambda *a: original(*a, keys_in_shard=keys, probes_in_task=probes))
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in linededup.drop_repeated_lines(df).collect()), key=repr)
+    assert got == lines_by_force(rows)
+
+
+def test_line_dedup_of_empty_tables(spark):
+    assert linededup.drop_repeated_lines(empty(spark)).count() == 0
+    one = linededup.drop_repeated_lines(odd_docs(spark)).filter("doc_id = 1").first()
+    assert (one.n_lines, one.n_dropped, one.kept_text) == (1, 0, "")
+
+
+def test_minimal_perfect_hash():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000, 50_000):
+        a, b = rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, n, dtype=np.uint64)
+        a[: n // 2] = a[0] if n else 0  # equal first halves are told apart by the second
+        h = linededup.MinimalHash(a, b)
+        assert sorted(h.slots(a, b)) == list(range(n))
+    shard = linededup.Shard(a, b, np.arange(n), np.full(n, 3, np.int64))
+    count, owner = shard.probe(a, b)
+    assert (count == 3).all() and (owner == np.arange(n)).all()
+    assert (shard.probe(a + np.uint64(1), b + np.uint64(1))[0] == 0).all()
+
+
+# --- 9 nearest neighbours ------------------------------------------------------------------------
+
+
+def nearest_by_force(ids, x, asked, k=5):
+    norm = np.sqrt((x * x).sum(axis=1))
+    out = {}
+    for i in asked:
+        s = (x * x[i]).sum(axis=1) / (norm * norm[i])
+        s[ids == ids[i]] = -np.inf
+        best = np.lexsort((ids, -s))[:k]
+        out[int(ids[i])] = [(int(ids[j]), float(s[j])) for j in best if s[j] > -np.inf]
+    return out
+
+
+def test_neighbours_recall_scores_and_ties(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 24)) + 3 * rng.normal(size=(12, 24))[rng.integers(0, 12, 2000)]
+    x[500:1100] = x[0]  # a hot vector
+    ids = np.arange(2000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for r in ann.search(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = nearest_by_force(ids, x, range(0, 2000, 20))
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 5 for q in want]) >= 0.9
+    assert [a for a, _ in got[0]] == [500, 501, 502, 503, 504]
+    for q, own in got.items():
+        assert own == sorted(own, key=lambda p: (-p[1], p[0]))
+        for v, s in own:
+            assert abs(s - float((x[q] * x[v]).sum() / np.sqrt((x[q] ** 2).sum() * (x[v] ** 2).sum()))) < 1e-12
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, df).orderBy("query_id").collect()]
+    assert got == [(1, 1, 2), (2, 1, 1)]
+    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    assert ann.search(df.filter("vec_id = 3"), df).count() == 0
+
+
+# --- 10 media ------------------------------------------------------------------------------------
+
+
+def test_payloads_round_trip():
+    rng = np.random.default_rng(4)
+    payloads = [media.pad_payload(rng.integers(0, 256, n, dtype=np.uint8).tobytes()) for n in (0, 1, 576, 577, 20_000, 300_000)]
+    payloads += [b"\xff" * 1152, b"\x00\xff" * 288, media.pad_payload(bytes(media.FRAME_BYTES + 1000))]
+    for p, d in zip(payloads, media.decode_thumbnails(media.encode_payloads(payloads)), strict=True):
+        assert b"".join(t.tobytes() for t in d["thumbs"]) == p
+    assert d["frames"] == 2 and media.encode_payloads([]) == []
+
+
+def color_jpeg(luma, interval=0):
+    """A picture of 2x2 luminance blocks and one of each colour in an MCU, with AC coefficients; codes of 8 bits."""
+    high, wide = luma.shape
+    symbols = bytes([*range(0, 12), 0x11, 0x01, 0xF0])
+    table = bytes([0] * 7 + [len(symbols)] + [0] * 8) + symbols
+    code = {s: f"{k:08b}" for k, s in enumerate(symbols)}
+
+    def put(d):
+        s = abs(d).bit_length()
+        return code[s] + (format(d if d > 0 else d + (1 << s) - 1, f"0{s}b") if s else "")
+
+    ac = code[0x01] + "1" + code[0xF0] + code[0x11] + "0" + code[0]
+    parts, bits, before, n = [], "", [0, 0, 0], 0
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        raw = int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b""
+        parts.append(raw.replace(b"\xff", b"\xff\x00"))
+        bits = ""
+
+    for r in range(0, high, 2):
+        for c in range(0, wide, 2):
+            if interval and n and n % interval == 0:
+                flush()
+                parts[-1] += bytes([255, 0xD0 + (n // interval - 1) % 8])
+                before = [0, 0, 0]
+            for part, value in [*((0, int(luma[r + i, c + j])) for i in (0, 1) for j in (0, 1)), (1, 5), (2, -7)]:
+                bits += put(value - before[part]) + ac
+                before[part] = value
+            n += 1
+    flush()
+    frame = struct.pack(">BHHB", 8, high * 8 - 3, wide * 8 - 5, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    segments = [(0xE0, b"JFIF\0" + bytes(9)), (0xDB, bytes([0]) + bytes([4] * 64)), (0xC0, frame), (0xC4, bytes([0]) + table), (0xC4, bytes([0x10]) + table)]
+    segments += [(0xDD, struct.pack(">H", interval))] * bool(interval) + [(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))]
+    return b"\xff\xd8" + b"".join(struct.pack(">BBH", 255, m, len(b) + 2) + b for m, b in segments) + b"".join(parts) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("interval", [0, 1, 3])
+def test_color_pictures_with_subsampling_and_ac(interval):
+    luma = np.random.default_rng(5).integers(-250, 250, (6, 8))
+    got = media.decode_thumbnails([color_jpeg(luma, interval), None, b"junk", b"", color_jpeg(luma, interval)[:-40]])
+    want = np.clip(np.floor(luma * 4 / 8 + 128.5), 0, 255).astype(np.uint8)
+    assert got[0]["width"] == 59 and got[0]["height"] == 45 and (got[0]["thumbs"][0] == want).all()
+    assert got[1] is None and all(isinstance(g, str) for g in got[2:])
+
+
+def test_media_columns(spark):
+    docs = odd_docs(spark).withColumn("media", F.lit(1))
+    out = media.media_columns(media.store_payloads(docs)).collect()
+    assert len(out) == 9
+    for r in out:
+        raw = (r.text or "").encode()
+        assert bytes(r.thumbnail) == media.pad_payload(raw) and r.n_bytes == len(raw) and r.media_error is None
+    assert len({r.thumbnail_hash for r in out if r.doc_id == 5}) == 1
+    assert media.media_columns(media.store_payloads(empty(spark))).count() == 0
+    broken = media.media_columns(spark.createDataFrame([(bytearray(b"xx"),), (None,)], "media binary")).collect()
+    assert {r.media_error is None for r in broken} == {True, False} and all(r.thumbnail is None for r in broken)
+
+
+def test_thumbnail_hash_tells_pictures_apart():
+    ramp = np.tile(np.arange(72, dtype=np.uint8), (64, 1))
+    assert media.thumbnail_hash(ramp) == "f" * 16 and media.thumbnail_hash(ramp[:, ::-1]) == "0" * 16
+    assert len(media.thumbnail_hash(np.zeros((3, 2), np.uint8))) == 16
+
+
+def test_sha_of_stored_form_is_stable():
+    assert hashlib.sha256(media.encode_payloads([media.pad_payload(b"a")])[0]).hexdigest() == hashlib.sha256(media.encode_payloads([media.pad_payload(b"b"), media.pad_payload(b"a")])[1]).hexdigest()
+
+
+# --- the pipeline --------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    texts = [t for t, _, _ in toxic_corpus(300, 21)]
+    labels = [y for _, y, _ in toxic_corpus(300, 21)]
+    near = [t + " " + prose(rng, 1) for t in (texts[2], texts[4], texts[6])]
+    foot = "The same closing line of every site."
+    rows = [(i, t + (f"\n{foot}" if i % 2 else ""), "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(near)]
+    rows += [(2000, None, "en", "s", 0), (2001, "123 456", "en", "s", 7), (None, prose(rng, 60), "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("kept")).withColumn("drops", F.lit(1))
+    spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns and {r.score for r in out.collect()} <= {"kept"}
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = docs.collect()
+    bad = {i for i, y in enumerate(labels) if y}
+    kept = {r.doc_id for r in seen["toxicity"]}
+    assert len(kept & bad) <= 0.05 * len(bad) and len(kept - bad) >= 0.99 * (len(rows) - len(bad))
+    assert {2000, 2001}.isdisjoint(r.doc_id for r in seen["language_id"]) and len(seen["language_id"]) >= len(kept) - 3
+    holders = [r for r in seen["line_dedup"] if foot in r.text]
+    assert len(holders) == 1 and holders[0].doc_id == min(r.doc_id for r in seen["language_id"] if r.doc_id is not None and foot in r.text)
+    assert all(r.n_chars is None or r.n_chars == len(r.text) or foot in r.text for r in seen["line_dedup"] if r.doc_id is not None)
+    left = {r.doc_id for r in seen["near_dedup"]}
+    assert None in left and not left & {1000, 1001, 1002}
+    assert {r.doc_id for r in seen["packing"]} == left
+    encode = packing.word_encoder().encode
+    assert sum(r.length for r in seen["packing"]) == sum(len(encode(r.text)) // 4 + 1 for r in seen["near_dedup"])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = empty(spark).drop("score")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
