@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import small_batches, steps, table
-from tallyframe.session import cut
+from tallyframe.session import cut, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -212,8 +212,9 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[int, np.ndarray]:
     schema = "cell int, counts binary"
     sketch, n = np.zeros(SKETCH, np.int64), 0
     cells = SKETCH // SKETCH_CELLS
-    summed = df.select(text).mapInArrow(count, schema).repartition("cell").mapInArrow(add, schema)
-    for r in summed.collect():  # SKETCH counters in all
+    with tidy(df.sparkSession):
+        summed = df.select(text).mapInArrow(count, schema).repartition("cell").mapInArrow(add, schema).collect()
+    for r in summed:  # SKETCH counters in all
         if r.cell == 0:
             n = int(np.frombuffer(r.counts, np.int64)[0])
         else:
@@ -308,7 +309,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        with tidy(e.sparkSession):
+            r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
     def ordered(a, b):
@@ -319,7 +321,7 @@ def components(edges: DataFrame) -> DataFrame:
     while known[0]:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         small_least = large.groupBy("b").agg(F.min("a").alias("m"))
         hung = large.join(small_least, "b").select(*ordered("a", "m")).filter("a <> b")
         edges = cut(hung.unionByName(small_least.select(*ordered("m", "b"))).distinct())
