@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.names import GRAPH_ENTITY, key, quoted, strings, visible
 from tallyframe.functions.scalars import graph_id, label_of, type_of
 from tallyframe.operators.cleaning import ROW, with_row_id
-from tallyframe.operators.profile import n_unique
+from tallyframe.operators.stats import value_counts
 from tallyframe.session import cut
 
 MOST_VALUES = 40
@@ -19,13 +19,10 @@ EDGE = "source string, target string, relation string, weight double"
 
 
 def entity_columns(df: DataFrame) -> list[str]:
-    """Columns named like entities with 2 to MOST_VALUES values, else the first 12 text columns with so many; one pass."""
+    """Columns named like entities with 2 to MOST_VALUES values, else the first 12 text columns with so many."""
     named = [c for c in visible(df) if GRAPH_ENTITY.search(key(c))]
-    wanted = list(dict.fromkeys([*named, *strings(df)]))
-    if not wanted:
-        return []
-    counts = dict(zip(wanted, df.agg(*[n_unique(c) for c in wanted]).first(), strict=True))
-    fits = lambda c: counts[c] is not None and 2 <= counts[c] <= MOST_VALUES
+    counts = value_counts(df, list(dict.fromkeys([*named, *strings(df)])), MOST_VALUES)
+    fits = lambda c: counts.get(c, 0) >= 2
     return [c for c in named if fits(c)] or [c for c in strings(df) if fits(c)][:12]
 
 

@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from tallyframe.functions.names import JOIN_KEY, quoted, visible
 
 
-def n_unique(name: str, approximate: bool = False):
-    """Distinct values, null being one of them."""
-    c = F.col(quoted(name))
-    count = F.approx_count_distinct(c) if approximate else F.count_distinct(c)
-    return count + F.max(c.isNull().cast("int"))
-
-
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(position, column, dtype, row_count, null_count, null_pct, n_unique), a row a column.
 

@@ -260,3 +260,23 @@ def test_streaming_weeks_equal_batch(spark, tmp_path):
     want = {(r.week, r.value) for r in trends.weekly(df, "ts", "value").collect()}
     assert {(r.week, r.value) for r in spark.sql("select * from weeks").collect()} == want
     assert {(r.week, r.value) for r in patterns.weekly(df, "ts", "value").collect()} == want
+
+
+@pytest.mark.parametrize("values", [[1.0], [3.0, 1.0], [5.0, 1.0, 3.0, 3.0, 9.0], [None, 2.0, 2.0, 7.0, 8.0], list(map(float, range(101))), [None, None], []])
+def test_distributed_median_and_mode(spark, values):
+    from statistics import median, mode
+
+    from tallyframe.operators import stats
+
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    there = sorted(v for v in values if v is not None)
+    assert stats.medians(df, ["v"], ["m"], one_task_rows=-1).first().m == stats.medians(df, ["v"], ["m"]).first().m == (median(there) if there else None)
+    assert stats.mode(df, "v", "m").first().m == (mode(there) if there else None)
+
+
+def test_value_counts_leave_out_columns_of_many(spark):
+    from tallyframe.operators import stats
+
+    df = spark.range(500).selectExpr("cast(id as string) many", "cast(id % 3 as string) few", "if(id % 2 = 0, null, 'x') holes", "cast(id % 26 as string) edge")
+    assert stats.value_counts(df, df.columns, 25) == {"few": 3, "holes": 2}
+    assert stats.value_counts(df, df.columns, 26)["edge"] == 26
