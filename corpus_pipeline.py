@@ -18,6 +18,8 @@ from tallyframe.session import shared_path
 #: A document costs over so many bits a byte by the best language's sample if it is in none of them:
 #: text of a learned language costs 2 to 4, an even mixture of two under 6, another language 7 or more.
 FOREIGN_BITS = 6.5
+#: Shorter texts aren't judged by it: a mail address or a key among ten words costs as much.
+LEAST_CHARS = 200
 
 
 def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list]:
@@ -38,7 +40,8 @@ def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that have letters and resemble one of the labelled languages."""
     rows, back = _aside(docs, ("lang_pred", "score", "bits"))
     found = langid.identify(rows, langid.fit(docs))
-    return found.filter((F.col("lang_pred") != langid.NOTHING) & (F.col("bits") <= FOREIGN_BITS)).select(*back)
+    foreign = (F.col("bits") > FOREIGN_BITS) & (F.char_length("text") >= LEAST_CHARS)
+    return found.filter((F.col("lang_pred") != langid.NOTHING) & ~foreign).select(*back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
