@@ -6,15 +6,21 @@ arithmetic which both engines share.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyframe import pipeline
 from tallyframe.functions import scalars
 from tallyframe.functions.names import canonical
 from tallyframe.operators import anomalies, cleaning, forecast, kgraph, patterns, profile
-from tallyframe.plans.cleaning_plan import CleaningPlan, Fill
+from tallyframe.plans.cleaning_plan import CleaningPlan, Fill, heuristic_plan
+from tallyframe.session import shared_path
+from tallyframe.sources import readers
+from tallyframe.streaming import trends
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -565,3 +571,82 @@ def graph_prune(spark, sf_dir):
 def graph_merge(spark, sf_dir):
     _, edges = _orders_graph(spark, sf_dir)
     return kgraph.merge_edges(edges, edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation", "weight"))
+
+
+# --- sources, plans and streams -----------------------------------------------------------------
+
+
+def _file(spark: SparkSession, name: str, text: str) -> str:
+    """A small text file in the shared folder."""
+    path = f"{shared_path(spark, 'sources')}/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
+def _nations(spark, sf_dir) -> list[dict]:
+    return [r.asDict() for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+
+
+_NATION = "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey{more} from nation"
+
+
+@query(_NATION.format(more=", '2024-01-01' as day, n_nationkey + 0.5::double as rate"))
+def csv_scan(spark, sf_dir):
+    lines = ["n_nationkey;n_name;n_regionkey;day;rate", *(f"{r['n_nationkey']};\"{r['n_name']}\";{r['n_regionkey']};2024-01-01;{r['n_nationkey'] + 0.5}" for r in _nations(spark, sf_dir))]
+    return readers.load_file(spark, _file(spark, "nation.csv", "\n".join(lines) + "\n")).drop("_row_id")
+
+
+@query(_NATION.format(more=""))
+def json_array_scan(spark, sf_dir):
+    return readers.load_file(spark, _file(spark, "nation.json", json.dumps(_nations(spark, sf_dir)))).drop("_row_id")
+
+
+@query(_NATION.format(more=""))
+def json_envelope_scan(spark, sf_dir):
+    return readers.load_file(spark, _file(spark, "nation.json", json.dumps({"records": _nations(spark, sf_dir), "page": 1}, indent=1))).drop("_row_id")
+
+
+@query(_NATION.format(more=""))
+def ndjson_scan(spark, sf_dir):
+    return readers.load_file(spark, _file(spark, "nation.ndjson", "\n".join(map(json.dumps, _nations(spark, sf_dir))))).drop("_row_id")
+
+
+@query("select n_name, row_number() over (order by n_nationkey) - 1 as place from nation")
+def parquet_scan(spark, sf_dir):
+    rows = readers.load_file(spark, f"{sf_dir}/nation.parquet")
+    return anomalies.indexed(rows).select("n_name", F.col("row_index").alias("place"))
+
+
+@query("""
+with d as (select o_orderkey as order_id, case when o_orderkey % 9 = 0 then null else floor(o_totalprice) end as p, o_orderdate::date as order_date from orders)
+select order_id, coalesce(p, (select median(p) from d))::double as total_price, order_date from d
+""")
+def heuristic_cleaning(spark, sf_dir):
+    """Profile, plan, clean and validate, with no plan given."""
+    dirty = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("Order ID"),
+        F.expr("case when o_orderkey % 9 = 0 then null else concat('$', cast(cast(floor(o_totalprice) as bigint) as string)) end").alias("Total  Price"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Order Date"),
+    )
+    tables = {"orders.csv": cleaning.with_row_id(dirty)}
+    plan = heuristic_plan(pipeline.build_profile(tables, ["orders.csv"]))
+    cleaned, _ = cleaning.execute_plan(tables, plan)
+    assert cleaning.validate(cleaned, plan).passed
+    return cleaned.drop("_row_id")
+
+
+@query("select date_trunc('week', ts)::date as week, round(sum(value), 4) as value, count(*)::bigint as rows from events group by 1")
+def stream_weekly(spark, sf_dir):
+    """The events as a stream of files; the memory sink holds a row a week."""
+    path = f"{sf_dir}/event[s].parquet"  # a pattern, as a stream of a single file needs
+    name = f"weeks_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
+    run = trends.weekly(stream, "ts", "value").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(spark, "stream")).start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.table(name).withColumn("value", F.round("value", 4))
