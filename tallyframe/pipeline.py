@@ -104,7 +104,7 @@ def find_anomalies(spark, state: State, df: DataFrame, enricher: Enricher, top:
     if enricher.flag_texts and (columns := anomalies.text_columns(df)):
         flagged, _ = enricher.ask("flag_texts", sinks.rows(rows.orderBy("row_index").select("row_index", *[F.col(f"`{c}`") for c in columns]).limit(25)), [])
         if flagged:
-            more = spark.createDataFrame([(f"text_model", int(x["row_index"]), str(x["entity"]), entity, str(x["metric"]), float(x["score"]), None, {}, (9 << 40) + i) for i, x in enumerate(flagged)], anomalies.CANDIDATE)
+            more = spark.createDataFrame([("text_model", int(x["row_index"]), str(x["entity"]), entity, str(x["metric"]), float(x["score"]), None, {}, (9 << 40) + i) for i, x in enumerate(flagged)], anomalies.CANDIDATE)
             found = found.unionByName(more.withColumn("severity", anomalies.severity(F.col("score"))))
     records = anomalies.explain(anomalies.merge_candidates(found, top)).persist()
     listed = sorted(sinks.rows(records), key=lambda r: (-r["score"], r["seq"]))
