@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import langid, linededup, neardup, packing, toxicity
 from tallyframe.llm.arrowtools import table
-from tallyframe.session import shared_path
+from tallyframe.session import remove, shared_path
 
 #: A document costs over so many bits a byte by the best language's sample if it is in none of them:
 #: text of a learned language costs 2 to 4, an even mixture of two under 6, another language 7 or more.
@@ -78,9 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's result; what a stage read is deleted once its own result is written."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.parquet(path), path
     return docs
