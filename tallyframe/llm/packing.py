@@ -24,7 +24,6 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,6 +46,8 @@ STEP = 16
 DEPTH = 3
 #: Words whose ids a worker remembers; emptied when full, which changes no result.
 REMEMBERED = 700_000
+#: New words that go to the library as one text.
+TOGETHER = 1000
 
 
 class WordEncoder:
@@ -63,9 +64,12 @@ class WordEncoder:
         parts = spec["pre_tokenizer"]["pretokenizers"]
         self.split = splitter(parts[0]["pattern"]["Regex"])
         spec["normalizer"] = None
-        spec["pre_tokenizer"] = parts[1]
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, parts[1]]}
         spec["added_tokens"] = []
         self.words = Tokenizer.from_str(json.dumps(spec))
+        suffix, vocabulary = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -81,16 +85,27 @@ class WordEncoder:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         split = [self.pieces(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        for w, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
+        words = set().union(*split)
+        new = list(words.difference(self.known))
+        for at in range(0, len(new), TOGETHER):
+            self._learn(new[at : at + TOGETHER])
+        known = self.known
+        get = {w: known[w] for w in words}.__getitem__  # small enough to stay in cache
         done = [b"".join(map(get, p)) for p in split]
         for w in new:
             if len(w) > 64:
                 del self.known[w]
         return done
 
+    def _learn(self, words: list[str]) -> None:
+        """Words have no white space in them, and only a word's last id ends a word."""
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(stops) != len(words):
+            raise ValueError("the tokenizer doesn't mark where words end")
+        raw = ids.tobytes()
+        self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+
 
 @lru_cache(2)
 def word_encoder(path: str = WORDS) -> WordEncoder:
