@@ -415,8 +415,8 @@ def text_length_outliers_documents(spark, sf_dir):
 
 @query()
 def isolation_forest_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_index"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return anomalies.numeric_anomalies(rows, entity="row_index").select("row_index", "metric", "score", "severity", "seq")
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return anomalies.numeric_anomalies(rows, entity="l_quantity").select("row_index", "metric", "score", "severity", "seq")
 
 
 _CANDIDATES = """
