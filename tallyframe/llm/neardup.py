@@ -85,6 +85,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of bytes [first, end), none of them empty: equal bytes, equal hashes."""
+    up, down = _power(len(data) + 1)
+    total = np.cumsum(_BYTE[data] * up[: len(data)])
+    before = np.where(first > 0, total[first - 1], _U(0))
+    return _mix((total[end - 1] - before) * down[first])
+
+
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: distinct shingle hashes (rising within a text), their counts, and how many each text has."""
     raw = [(t or "").lower().encode() + b" " for t in texts]
@@ -94,10 +102,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     word = _WORD[data]
     edge = np.flatnonzero(np.diff(word, prepend=False))  # texts end in a space
     first, end = edge[::2], edge[1::2]
-    up, down = _power(len(data) + 1)
-    total = np.cumsum(_BYTE[data] * up[: len(data)])
-    before = np.where(first > 0, total[first - 1], _U(0))
-    words = _mix((total[end - 1] - before) * down[first])
+    words = span_hashes(data, first, end)
     ends = np.cumsum([len(r) for r in raw])
     doc = np.searchsorted(ends, first, "right")
     n = np.bincount(doc, minlength=len(raw))

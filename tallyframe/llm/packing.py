@@ -26,6 +26,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm.arrowtools import small_batches, steps, table
-from tallyframe.llm.splitting import splitter
+from tallyframe.llm.neardup import span_hashes
+from tallyframe.llm.splitting import _PLAIN, WORD_PATTERN, splitter
 from tallyframe.session import cut
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -50,19 +52,46 @@ REMEMBERED = 700_000
 TOGETHER = 1000
 
 
+#: Of a byte of lower-cased plain text: 0 white space, 1 part of a letter, 2 digit, 3 anything else.
+_KIND = np.array([0 if b in b"\t\n\x0b\x0c\r " else 1 if b >= 128 or 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
+
+
+def plain_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of plain text begin and end: what its splitting pattern matches, found on all bytes at once."""
+    kind = _KIND[data]
+    start = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)]))
+    end = np.append(start[1:], len(data))
+    there = kind[start] > 0
+    first, end = start[there], end[there]
+    # an apostrophe alone and what it shortens are one piece: 's 't 'm 'd 're 've 'll
+    k = np.flatnonzero((data[first] == 39) & (end - first == 1))
+    k = k[k + 1 < len(first)]
+    k = k[(first[k + 1] == end[k]) & (kind[end[k]] == 1)]
+    a, b = data[first[k + 1]], data[np.minimum(first[k + 1] + 1, len(data) - 1)]
+    two = (end[k + 1] - first[k + 1] >= 2) & (((b == 101) & ((a == 114) | (a == 118))) | ((a == 108) & (b == 108)))
+    size = np.where(two, 2, np.where(np.isin(a, list(b"stmd")), 1, 0))
+    end[k] += size
+    first[k + 1] += size
+    left = first < end
+    return first[left], end[left]
+
+
 class WordEncoder:
     """Ids of whole texts, little-endian unsigned 32-bit, by the tokenizer file; each word is encoded once.
 
     The file's steps are applied here to whole texts (normal form C, lower case by code point,
     the splitting pattern), and its BPE to words that aren't remembered. Strings of special
-    tokens are ordinary text.
+    tokens are ordinary text. Plain texts (ASCII and À to ſ) are split, looked up by 64-bit
+    hashes of their words and put together in numpy; others word by word.
     """
 
     def __init__(self, path: str = WORDS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.split = splitter(parts[0]["pattern"]["Regex"])
+        pattern = parts[0]["pattern"]["Regex"]
+        self.split = splitter(pattern)
+        self.plain = _PLAIN if pattern == WORD_PATTERN else lambda text: None
         spec["normalizer"] = None
         spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, parts[1]]}
         spec["added_tokens"] = []
@@ -70,41 +99,71 @@ class WordEncoder:
         suffix, vocabulary = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
-    def pieces(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.split(text.lower())
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.slots: dict[int, int] = {}
+        #: Ids of the words of all slots in a row, and where each slot's begin; one more place than slots.
+        self.pool, self.begins = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Of several texts at once; words that none of them had before are encoded together."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        split = [self.pieces(t) for t in texts]
-        words = set().union(*split)
-        new = list(words.difference(self.known))
-        for at in range(0, len(new), TOGETHER):
-            self._learn(new[at : at + TOGETHER])
-        known = self.known
-        get = {w: known[w] for w in words}.__getitem__  # small enough to stay in cache
-        done = [b"".join(map(get, p)) for p in split]
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
-        return done
-
-    def _learn(self, words: list[str]) -> None:
-        """Words have no white space in them, and only a word's last id ends a word."""
-        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-        if len(stops) != len(words):
+        if len(self.known) + len(self.slots) >= REMEMBERED:
+            self.forget()
+        low = [(t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ")).lower() for t in texts]
+        plain = [i for i, t in enumerate(low) if self.plain(t)]
+        other = [i for i, t in enumerate(low) if not self.plain(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for group, work in ((plain, self._plain), (other, self._general)):
+            if group:
+                for i, x in zip(group, work([low[i] for i in group]), strict=True):
+                    out[i] = x
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() + b"\n" for t in texts]
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        first, end = plain_words(data)
+        hashes, at = np.unique(span_hashes(data, first, end), return_inverse=True)
+        slot = np.array(list(map(self.slots.get, hashes.tolist(), repeat(-1))), np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            where = np.empty(len(hashes), np.int64)
+            where[at[::-1]] = np.arange(len(at))[::-1]
+            ids, sizes = self._encode_words([joined[first[w] : end[w]].decode() for w in where[new].tolist()])
+            slot[new] = len(self.slots) + np.arange(len(new))
+            self.slots.update(zip(hashes[new].tolist(), slot[new].tolist(), strict=True))
+            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+            self.pool = np.concatenate([self.pool, ids])
+        begin, size = self.begins[slot], np.diff(self.begins)[slot]
+        each = size[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], each)]
+        cuts = ends[np.searchsorted(first, np.cumsum([0, *map(len, raw)]))].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _general(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if new:
+            ids, sizes = self._encode_words(new)
+            raw, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            self.known.update(zip(new, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        return [b"".join(map(self.known.__getitem__, p)) for p in split]
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Words hold no white space, and only a word's last id ends a word."""
+        texts = [" ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(texts, add_special_tokens=False)])
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(words):
             raise ValueError("the tokenizer doesn't mark where words end")
-        raw = ids.tobytes()
-        self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+        return ids, sizes
 
 
 @lru_cache(2)

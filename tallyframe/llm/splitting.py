@@ -16,10 +16,12 @@ _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ſ]*").fullmatch
 _SPACE = r"\t-\r "
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The splitting pattern of word_bpe_49k.json.
+WORD_PATTERN = rf"{_SUFFIXES}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
 #: By general pattern: what it is for plain texts.
 WRITTEN_OUT = {
     public_tokenizers.PATTERN: rf"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_SPACE}{_LETTERS}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+",
-    rf"{_SUFFIXES}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+": rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^{_SPACE}{_LETTERS}0-9]+",
+    WORD_PATTERN: rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^{_SPACE}{_LETTERS}0-9]+",
 }
 
 

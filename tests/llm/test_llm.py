@@ -631,3 +631,14 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_plain_pieces_equal_the_pattern():
+    rng = random.Random(13)
+    split = splitting.splitter(splitting.WORD_PATTERN)
+    letters = "abrelvtsdm" * 2 + "''''  \n\t.,!?019éßþſ\x1c\x00-"
+    for _ in range(5000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 20))).lower()
+        raw = t.encode() + b"\n"
+        first, end = packing.plain_words(np.frombuffer(raw, np.uint8))
+        assert [raw[i:j].decode() for i, j in zip(first, end, strict=True)] == split(t), repr(t)
