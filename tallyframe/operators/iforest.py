@@ -5,8 +5,8 @@ point's score is 2^(-mean depth / c), c being the mean depth of an unsuccessful
 many points; 0.5 is ordinary, 1 a certain outlier.
 
 The samples of all trees come from one draw of SAMPLE_ROWS rows in expectation by a hash of the
-row id, so that the forest is the same for any partitioning. Depths are found for all points and
-trees at once, level by level.
+row id, so that the forest is the same for any partitioning. A block of points goes down each tree
+together, level by level.
 """
 
 from __future__ import annotations
@@ -35,27 +35,28 @@ def search_depth(n) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Nodes of all trees side by side; a leaf points to itself and holds its depth."""
+    """Nodes of all trees in a row, the two children of a node side by side; a leaf is its own child and holds its depth."""
 
     feature: np.ndarray
     cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    child: np.ndarray
     depth: np.ndarray
-    roots: np.ndarray
+    roots: list[int]
     levels: int
     rows: int
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for a in range(0, len(x), 2048):
-            part = x[a : a + 2048]
-            node = np.repeat(self.roots[None, :], len(part), axis=0)
-            for _ in range(self.levels):
-                value = np.take_along_axis(part, self.feature[node], axis=1)
-                node = np.where(value < self.cut[node], self.left[node], self.right[node])
-            total[a : a + 2048] = self.depth[node].mean(axis=1)
-        return 2.0 ** (-total / max(float(search_depth(self.rows)), 1e-12))
+        for a in range(0, len(x), 4096):
+            part = np.ascontiguousarray(x[a : a + 4096])
+            flat, row = part.ravel(), np.arange(len(part)) * part.shape[1]
+            for root in self.roots:
+                node = np.full(len(part), root)
+                for _ in range(self.levels):
+                    value = flat.take(row + self.feature.take(node))
+                    node = self.child.take(node) + (value >= self.cut.take(node))
+                total[a : a + 4096] += self.depth.take(node)
+        return 2.0 ** (-total / len(self.roots) / max(float(search_depth(self.rows)), 1e-12))
 
 
 def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED) -> Forest:
@@ -64,26 +65,25 @@ def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = S
     most = int(np.ceil(np.log2(max(rows, 2))))
     nodes: list[list] = []
     roots = []
-
-    def add(own: np.ndarray, level: int) -> int:
-        me = len(nodes)
-        nodes.append([0, np.inf, me, me, level + float(search_depth(len(own)))])
-        low, high = own.min(axis=0), own.max(axis=0)
-        varied = np.flatnonzero(high > low)
-        if level < most and len(own) > 1 and len(varied):
-            f = int(rng.choice(varied))
-            at = rng.uniform(low[f], high[f])
-            under = own[:, f] < at
-            if under.any() and not under.all():
-                left = add(own[under], level + 1)
-                right = add(own[~under], level + 1)
-                nodes[me] = [f, at, left, right, 0.0]
-        return me
-
     for _ in range(trees):
-        roots.append(add(x[rng.choice(len(x), rows, replace=False)], 0))
-    f, c, left, right, d = zip(*nodes, strict=True)
-    return Forest(np.array(f), np.array(c), np.array(left), np.array(right), np.array(d), np.array(roots), most, rows)
+        roots.append(len(nodes))
+        nodes.append([])
+        todo = [(len(nodes) - 1, x[rng.choice(len(x), rows, replace=False)], 0)]
+        while todo:
+            me, own, level = todo.pop()
+            nodes[me] = [0, np.inf, me, level + float(search_depth(len(own)))]
+            low, high = own.min(axis=0), own.max(axis=0)
+            varied = np.flatnonzero(high > low)
+            if level < most and len(varied):
+                f = int(rng.choice(varied))
+                at = rng.uniform(low[f], high[f])
+                under = own[:, f] < at
+                if under.any() and not under.all():
+                    nodes[me] = [f, at, len(nodes), 0.0]
+                    todo += [(len(nodes), own[under], level + 1), (len(nodes) + 1, own[~under], level + 1)]
+                    nodes += [[], []]
+    f, c, child, d = zip(*nodes, strict=True)
+    return Forest(np.array(f), np.array(c), np.array(child), np.array(d), roots, most, rows)
 
 
 def fit(features: DataFrame, columns: list[str], row_id: str, rows: int, **kw) -> Forest:
