@@ -6,8 +6,11 @@ sub-centroids. A query probes the lists of its nearest centroids; how many is me
 sample: as many as hold REACHED of the true neighbours of ASKERS sample rows in the sample, few where
 vectors cluster and over half of the lists where they are spread evenly. In a list, a table of the
 query's inner products with all sub-centroids (the query itself not being quantised) scores every
-code by lookups; the best SHORTLIST codes are reranked by the cosine of the original vectors in
-double precision, and the best of all lists are the result.
+code by lookups. A score is off by no more than the length of what its code leaves of the vector,
+which the index holds: the cosines of the SHORTLIST best codes give a k-th best one, and every row
+whose score could still reach it is reranked by the cosine of the original vectors in double
+precision. So codes never cut a neighbour off, however crowded a list is; where vectors are spread so
+evenly that codes tell little, most of a list is reranked. The best of all lists are the result.
 
 Centroids and sub-centroids are fitted on FIT_ROWS rows in expectation, drawn by hash, equal
 vectors counting once; every row is indexed. Lists are cut into blocks of BLOCK rows on
@@ -34,7 +37,10 @@ from tallyframe.llm.arrowtools import table
 FIT_ROWS = 16_384
 MOST_LISTS = 1024
 SUBSPACES = 16
+#: Codes whose cosines give the bound that the other rows have to reach; no limit to what is reranked.
 SHORTLIST = 64
+#: More than rounding adds to a score or a cosine.
+MARGIN = 1e-9
 BLOCK = 8192
 #: How many of the sample's true neighbours must lie in the probed lists, and how many sample rows ask.
 REACHED, ASKERS = 0.97, 256
@@ -117,11 +123,13 @@ class Quantiser:
         wide[:, : self.dim] = x
         return wide.reshape(len(x), self.parts, self.width)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of unit vectors."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List and codes of unit vectors, and the length of what they leave of each."""
         own = nearest(x, self.coarse)
         rest = self.split(x - self.coarse[own])
-        return own, np.stack([nearest(rest[:, p], self.books[p]) for p in range(self.parts)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, p], self.books[p]) for p in range(self.parts)], axis=1)
+        left = sum(((rest[:, p] - book[codes[:, p]]) ** 2).sum(axis=1) for p, book in enumerate(self.books))
+        return own, codes.astype(np.uint8), np.sqrt(left)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query with each sub-centroid: (query, part, code)."""
@@ -146,20 +154,19 @@ def fit(df: DataFrame, vec_id: str, embedding: str) -> Quantiser | None:
 
 
 def build_index(df: DataFrame, q: Quantiser, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, list, codes, vector) of every usable row."""
+    """(vec_id, list, codes, left, vector) of every usable row."""
     shared = df.sparkSession.sparkContext.broadcast(q)  # MOST_LISTS + 256 * SUBSPACES centroids at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = vectors(b.column(1), shared.value.dim)
             if len(rows):
-                own, codes = shared.value.encode(unit(x))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), _arrays(x)], names=["vec_id", "list", "codes", "vector"]
-                )
+                own, codes, left = shared.value.encode(unit(x))
+                cols = [b.column(0).take(pa.array(rows)), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), _arrays(x)]
+                yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "list", "codes", "left", "vector"])
 
     rows = df.select(F.col(vec_id).cast("long"), F.col(embedding)).filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull())
-    return rows.mapInArrow(work, "vec_id long, list int, codes binary, vector array<double>")
+    return rows.mapInArrow(work, "vec_id long, list int, codes binary, left double, vector array<double>")
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -198,6 +205,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     right = asked.join(blocks(), "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")).withColumn("row_block", spread("row_blocks")).drop("row_blocks", "query_blocks")
     keys = ["list", "row_block", "query_block"]
 
+    def kth(close: np.ndarray) -> np.ndarray:
+        """The k-th largest of each row, or less than all where there are fewer."""
+        return np.partition(close, -k, axis=1)[:, -k] if close.shape[1] >= k else np.full(len(close), -np.inf)
+
     def scan(rows: pa.Table, asked: pa.Table) -> pa.Table:
         q, _ = shared.value
         found: list[tuple] = []
@@ -207,7 +218,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
             ids = ids[order]
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order].astype(np.intp)
             x = vectors(rows.column("vector"), q.dim)[1][order]
-            length = np.sqrt((x * x).sum(axis=1))
+            length, left = np.sqrt((x * x).sum(axis=1)), rows.column("left").to_numpy()[order]
             near = q.coarse[int(rows.column("list")[0].as_py())]
             asker, y = asked.column("query_id").to_numpy(), vectors(asked.column("vector"), q.dim)[1]
             for a in range(0, len(y), 64):
@@ -217,10 +228,16 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
                 for p in range(q.parts):
                     score += books[:, p][:, codes[:, p]]
                 score[asker[a : a + 64][:, None] == ids] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :SHORTLIST]
-                for i, row in enumerate(best):
-                    row = row[score[i, row] > -np.inf]
-                    v = y[a + i]
+                first = np.argpartition(-score, SHORTLIST - 1, axis=1)[:, :SHORTLIST] if len(ids) > SHORTLIST else np.broadcast_to(np.arange(len(ids)), score.shape)
+                close = np.einsum("ijk,ik->ij", x[first], own) / length[first]
+                close[np.take_along_axis(score, first, axis=1) == -np.inf] = -np.inf
+                could = (score + left >= kth(close)[:, None] - MARGIN) & (score > -np.inf)
+                some = np.flatnonzero(could.any(axis=0))
+                close = own @ x[some].T / length[some]
+                close[~could[:, some]] = -np.inf
+                could = (close >= kth(close)[:, None] - MARGIN) & (close > -np.inf)
+                for i in range(len(own)):
+                    row, v = some[could[i]], y[a + i]
                     exact = (x[row] * v).sum(axis=1) / (length[row] * np.sqrt((v * v).sum()))
                     top = np.lexsort((ids[row], -exact))[:k]
                     found += zip([int(asker[a + i])] * len(top), ids[row[top]].tolist(), exact[top].tolist(), strict=True)

@@ -495,6 +495,19 @@ def test_neighbours_recall_scores_and_ties(spark):
             assert abs(s - float((x[q] * x[v]).sum() / np.sqrt((x[q] ** 2).sum() * (x[v] ** 2).sum()))) < 1e-12
 
 
+def test_neighbours_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(3000, 32))
+    copies = range(1000, 3000)
+    x[copies] = x[0] + 0.01 * rng.normal(size=(2000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, df.filter("vec_id >= 1000 and vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    want = nearest_by_force(np.arange(3000), x, range(1000, 3000, 20))
+    assert np.mean([len(set(found[q]) & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
