@@ -13,8 +13,8 @@
    by the exact weighted Jaccard similarity of whole texts; those of at least THRESHOLD link.
 4. Buckets whose members aren't one class by then are searched once more: all their pairs of
    different classes are compared by samples, in blocks of BLOCK nodes, each pair in the first bucket
-   that it shares. Nodes with a partner that agrees in LIKELY samples (at a similarity of 0.8 all but
-   one in 5000 do) are then compared exactly with the others of their block, and only links that
+   that it shares by its bands' keys. Nodes with a partner that agrees in LIKELY samples (at a similarity
+   of 0.8 all but one in 300,000 do) are then compared exactly with the others of their block, and only links that
    join classes leave the task.
 5. Classes are the connected components of the links, found by alternating large and small stars.
 
@@ -48,7 +48,7 @@ SKETCH = 1 << 18
 SKETCH_CELLS = 1024
 BLOCK = 512
 #: Of HASHES; a pair of similarity 0.8 agrees in 38 on average, with a deviation of 2.8.
-LIKELY = 29
+LIKELY = 25
 #: Members of a leader that one group of comparisons takes.
 MEMBERS = 512
 #: Shingles that one vectorised step samples from.
@@ -364,28 +364,29 @@ def _pairs_table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _likely(buckets: DataFrame) -> DataFrame:
     """(key, i, j, own, rep, class) of the nodes that have a likely partner of another class in their pair of blocks.
 
-    buckets: (key, band, n, rep, class, s0..), only those of several classes.
+    buckets: (key, band, n, rep, class, b0.., s0..), only those of several classes.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         buckets.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "rep", "class", *_BYTES)
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "rep", "class", *_BAND, *_BYTES)
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "rep")
     )
-    names = ["key", "i", "j", "band", "own", "rep", "class", *_BYTES]
+    names = ["key", "i", "j", "band", "own", "rep", "class", *_BAND, *_BYTES]
     kept = ["key", "i", "j", "own", "rep", "class"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, names):
             low = np.stack([np.array(g[c], np.int64) for c in _BYTES], axis=1).view(np.uint8)[:, :HASHES]
             own, cls, band = np.array(g["own"]), np.array(g["class"]), g["band"][0]
+            before = np.stack([np.array(g[c], np.int64) for c in _BAND], axis=1)[:, :band]
             left, right = np.flatnonzero(own == g["i"][0]), np.flatnonzero(own == g["j"][0])
             hit = np.zeros(len(own), bool)
             for x in left:
                 same = low[right] == low[x]
-                earlier = same[:, : band * ROWS].reshape(len(right), band, ROWS).all(axis=2).any(axis=1)
+                earlier = (before[right] == before[x]).any(axis=1)
                 good = (same.sum(axis=1) >= LIKELY) & ~earlier & (cls[right] != cls[x])
                 if good.any():
                     hit[x] = True
@@ -451,7 +452,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     classes = components(links)
     classed = members.join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root", "leader")
     split = classed.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).filter("_x <> _y").select("key")
-    more = cut(_linked(_likely(classed.join(split, "key")), texts, weights, threshold))
+    shared = classed.join(split, "key").join(reps.select("rep", *_BAND), "rep")
+    more = cut(_linked(_likely(shared), texts, weights, threshold))
     if not more.isEmpty():
         classes = components(links.unionByName(more))
     by_text = reps.select("t0", "t1", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("t0", "t1", F.coalesce("root", "rep").alias("class_id"))

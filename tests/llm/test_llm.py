@@ -106,6 +106,15 @@ def test_near_duplicates_blocks_find_links_between_members(spark, monkeypatch):
     assert got == classes_by_force(docs) and len(set(got.values())) == 1
 
 
+def test_near_duplicates_compare_pairs_that_only_seem_to_share_an_earlier_bucket(spark):
+    """All bytes of the samples agree, the keys of the first band don't: band 1 is the pair's first bucket, band 2 its second."""
+    bytes_ = ", ".join(f"0L as {c}" for c in neardup._BYTES)
+    keys = ", ".join(f"{'id' if i == 0 else i} as {c}" for i, c in enumerate(neardup._BAND))
+    rows = spark.range(1, 3).selectExpr("explode(array(1, 2)) as band", "2L as n", "id as rep", "id as class", *keys.split(", "), *bytes_.split(", "))
+    got = neardup._likely(rows.selectExpr("cast(band as long) as key", "*")).collect()
+    assert sorted((r.key, r.rep) for r in got) == [(1, 1), (1, 2)]
+
+
 def test_near_duplicates_of_odd_input(spark):
     rows = neardup.near_duplicates(odd_docs(spark)).collect()
     got = {r.id: r.class_id for r in rows}
