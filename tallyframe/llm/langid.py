@@ -3,8 +3,8 @@
 Each language has a suffix automaton over a sample of its labelled text. Reading a document by
 it, greedily, takes the longest piece that occurs somewhere in the sample, then the next one:
 the fewer pieces (phrases) the document falls into, the closer the language. With c phrases over
-n bytes and a sample of N bytes, c log2(N) / n estimates the cross entropy in bits a byte, which
-makes samples of different lengths comparable. The language of least entropy wins, ties go to
+n bytes, c log2(SAMPLE_BYTES) / n estimates the cross entropy in bits a byte. A phrase costs as much
+where a sample is shorter, so that a tiny one is not the cheapest for every document. The language of least entropy wins, ties go to
 the first name.
 
 Text is lower-cased UTF-8, ASCII characters other than letters being spaces.
@@ -12,7 +12,7 @@ All bytes of a document count. For numpy's sake a document is read in windows of
 next to each other; a phrase ends at a window's end, for every language alike.
 
 The automata are fitted on a bounded sample: SAMPLE_DOCS documents of a language at most in
-expectation, drawn by a hash of text and id, of which the first SAMPLE_BYTES bytes are used.
+expectation, equal texts counting once (all where there are no more), drawn by a hash of the text, of which the first SAMPLE_BYTES bytes are used.
 
 Defined results: text that is null or has no letter is ``und`` with score 0. With no labelled
 text at all, everything is ``und``. ``lang_pred``, ``score`` and ``bits`` replace columns of these names.
@@ -105,7 +105,6 @@ class CrossParser:
             at += len(moves)
         kind = np.int32 if 2 * at * width < 2**31 else np.int64
         self.cells = np.concatenate([x.astype(kind) for x in tables] or [np.zeros(0, kind)], axis=None)
-        self.log = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) by each language (columns)."""
@@ -130,13 +129,13 @@ class CrossParser:
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Cross entropy in bits a byte."""
-        return self.phrases(texts) * self.log / np.maximum(1, [len(t) for t in texts])[:, None]
+        return self.phrases(texts) * np.log2(SAMPLE_BYTES) / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
 def sample(labelled: DataFrame, text: str, lang: str, seed: int = 7) -> dict[str, bytes]:
     """The bounded sample of each language, on the driver."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and text <> ''")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text", F.lit(seed + 1))).alias("n"))
     span = 1 << 32
     drawn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(span))
     chosen = (

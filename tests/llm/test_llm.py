@@ -412,6 +412,17 @@ def test_languages_of_held_out_texts(spark):
     assert np.mean([r.lang == r.lang_pred for r in out]) > 0.97 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_of_few_distinct_texts_and_of_a_tiny_sample(spark):
+    rows = [(f"alpha beta number{i % 3}", "aa") for i in range(9000)] + [(f"other words {i}", "bb") for i in range(20)]
+    drawn = langid.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert set(drawn) == {"aa", "bb"} and drawn["aa"].count(b"alpha") == 3
+    rng = random.Random(8)
+    text = language(rng, ["ka", "lo", "mi", "tu", "re", "sen", "dor"], 3000)
+    parser = langid.CrossParser({"big": langid.normal(text[:6000]), "tiny": b"xq"})
+    bits = parser.bits([langid.normal(text[6000:7000]), b"vwvwvwvw" * 40])
+    assert bits[0].argmin() == 0 and bits[1].min() > 6.5
+
+
 def test_language_of_odd_input(spark):
     docs = odd_docs(spark, [(30, "12 34!"), (31, "un deux trois")])
     parser = langid.CrossParser({"fr": b"un deux trois quatre", "en": b"one two three four word"})
