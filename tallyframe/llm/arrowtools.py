@@ -12,15 +12,27 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch sent to Python. Long texts are common, so small batches keep workers small.
 BATCH_ROWS = 512
+#: Bytes of such a batch; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one vectorised step takes at a time; a longer single text is a step of its own.
 STEP_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, unless it is lower already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, unless they are lower already.
+
+    Spark reads these when a plan is run, hence they stay lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(setting: str) -> int:
+    """A number that may end in b, k, m or g."""
+    digits = setting.strip().lower().rstrip("bkmgt")
+    unit = setting.strip().lower()[len(digits) :][:1]
+    return int(digits) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(unit, 1)
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import extended, small_batches, steps, table, without
 
@@ -38,6 +37,10 @@ SIDE = 8191
 FRAME_BYTES = UNIT * SIDE
 #: Restart intervals decoded side by side: their arrays stay in a core's cache.
 LANES_AT_ONCE = 16384
+#: Bytes in which the end of a scan is looked for first, and of scans that are decoded together.
+SCAN_AT_ONCE = 1 << 20
+#: Bytes of text or media that a step of the operators takes; a longer single one is a step of its own.
+STEP_BYTES = 1 << 20
 
 
 class BadJpeg(ValueError):
@@ -75,7 +78,7 @@ def _header(width: int, height: int) -> bytes:
 
 def _dc_codes() -> tuple[np.ndarray, np.ndarray]:
     """Code and length of each difference -255..255: category, extra bits, end-of-block."""
-    code, length = np.zeros(511, np.uint32), np.zeros(511, np.int64)
+    code, length = np.zeros(511, np.uint32), np.zeros(511, np.int32)
     for d in range(-255, 256):
         s = abs(d).bit_length()
         extra = d if d >= 0 else d + (1 << s) - 1
@@ -86,16 +89,12 @@ def _dc_codes() -> tuple[np.ndarray, np.ndarray]:
 _CODE, _LENGTH = _dc_codes()
 
 
-def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """A JPEG for each payload (lengths: positive multiples of UNIT); very long ones become several frames in a row."""
-    frames = [(i, p[at : at + FRAME_BYTES]) for i, p in enumerate(payloads) for at in range(0, len(p), FRAME_BYTES)]
-    if not frames:
-        return []
-    rows = np.frombuffer(b"".join(f for _, f in frames), np.uint8).reshape(-1, LANE).astype(np.int16) - 128
-    step = np.diff(rows, axis=1, prepend=np.int16(0)) + 255
-    code, length = _CODE[step], _LENGTH[step]
-    ends = np.cumsum(length, axis=1)
+def _encode_lanes(rows: np.ndarray, mark: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The entropy-coded bytes of restart intervals (a row each), every one followed by its marker, and how many bytes each has."""
     n = len(rows)
+    step = np.diff(rows.astype(np.int16) - np.int16(128), axis=1, prepend=np.int16(0)) + np.int16(255)
+    code, length = _CODE[step], _LENGTH[step]
+    ends = np.cumsum(length, axis=1, dtype=np.int32)
     wide = (LANE * int(_LENGTH.max()) + 7) // 8 + 3
     out = np.zeros((n, wide + 2), np.uint8)
     flat, base = out.reshape(-1), np.arange(n) * (wide + 2)
@@ -109,22 +108,26 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     bits = ends[:, -1]
     size = (bits + 7) >> 3
     flat[base + size - 1] |= ((1 << (size * 8 - bits)) - 1).astype(np.uint8)
+    flat[base + size], flat[base + size + 1] = 255, mark
+    kept = np.arange(wide + 2) < (size + 2)[:, None]
+    stuffed = (np.arange(wide + 2) < size[:, None]) & (out == 255)
+    places = np.flatnonzero(stuffed[kept])
+    return np.insert(out[kept], places + 1, 0).tobytes(), size + 2 + stuffed.sum(axis=1)
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """A JPEG for each payload (lengths: positive multiples of UNIT); very long ones become several frames in a row."""
+    frames = [(i, p[at : at + FRAME_BYTES]) for i, p in enumerate(payloads) for at in range(0, len(p), FRAME_BYTES)]
+    if not frames:
+        return []
+    rows = np.frombuffer(b"".join(f for _, f in frames), np.uint8).reshape(-1, LANE)
     lanes = np.array([len(f) // LANE for _, f in frames])
     last = np.cumsum(lanes) - 1
-    number = np.arange(n) - np.repeat(last + 1 - lanes, lanes)
-    mark = 0xD0 + (number & 7)
+    mark = (0xD0 + ((np.arange(len(rows)) - np.repeat(last + 1 - lanes, lanes)) & 7)).astype(np.uint8)
     mark[last] = 0xD9
-    flat[base + size], flat[base + size + 1] = 255, mark
-    kept = np.arange(wide + 2) < (size + 2)[:, None]
-    is_data = np.arange(wide + 2) < size[:, None]
-    stream, stuffed = out[kept], (is_data & (out == 255))[kept]
-    places = np.arange(len(stream)) + np.concatenate([[0], np.cumsum(stuffed)[:-1]])
-    done = np.zeros(len(stream) + int(stuffed.sum()), np.uint8)
-    done[places] = stream
-    lane_bytes = size + 2 + (is_data & (out == 255)).sum(axis=1)
-    cut = np.concatenate([[0], np.cumsum(lane_bytes)[last]])
+    coded, sizes = zip(*(_encode_lanes(rows[at : at + LANES_AT_ONCE], mark[at : at + LANES_AT_ONCE]) for at in range(0, len(rows), LANES_AT_ONCE)), strict=True)
+    raw, cut = b"".join(coded), np.concatenate([[0], np.cumsum(np.concatenate(sizes))[last]])
     parts: list[list[bytes]] = [[] for _ in payloads]
-    raw = done.tobytes()
     for k, (i, f) in enumerate(frames):
         w, h = _shape(len(f))
         parts[i] += [_header(8 * w, 8 * h), raw[cut[k] : cut[k + 1]]]
@@ -210,11 +213,16 @@ def parse_frame(media: bytes, at: int = 0) -> tuple[dict, int]:
         frame["most"] = (1, 1)
     else:
         frame["most"] = (max(p[1] for p in frame["parts"]), max(p[2] for p in frame["parts"]))
-    rest = np.frombuffer(media, np.uint8)[at:]
-    ff = np.flatnonzero(rest[:-1] == 255)
-    after = rest[ff + 1]
-    marks, kinds = ff[after != 0], after[after != 0]
-    ends = np.flatnonzero((kinds < 0xD0) | (kinds > 0xD7))
+    whole, span = np.frombuffer(media, np.uint8)[at:], SCAN_AT_ONCE
+    while True:
+        rest = whole[:span]
+        ff = np.flatnonzero(rest[:-1] == 255)
+        after = rest[ff + 1]
+        marks, kinds = ff[after != 0], after[after != 0]
+        ends = np.flatnonzero((kinds < 0xD0) | (kinds > 0xD7))
+        if len(ends) or span >= len(whole):
+            break
+        span *= 2
     if not len(ends):
         raise BadJpeg("the scan has no end")
     end, restarts = int(marks[ends[0]]), marks[: ends[0]]
@@ -222,8 +230,8 @@ def parse_frame(media: bytes, at: int = 0) -> tuple[dict, int]:
     drop[ff[(after == 0) & (ff < end)] + 1] = True
     drop[restarts] = drop[restarts + 1] = True
     frame["scan"] = rest[:end][~drop]
-    gone = np.concatenate([[0], np.cumsum(drop)])
-    frame["starts"] = np.concatenate([[0], restarts + 2 - gone[np.minimum(restarts + 2, end)]]).astype(np.int64)
+    after_marks = restarts + 2
+    frame["starts"] = np.concatenate([[0], after_marks - np.searchsorted(np.flatnonzero(drop), np.minimum(after_marks, end))]).astype(np.int64)
     if media[at + end + 1] != 0xD9:
         raise BadJpeg("more than one scan")
     wide, high = -(-frame["width"] // (8 * frame["most"][0])), -(-frame["height"] // (8 * frame["most"][1]))
@@ -280,21 +288,39 @@ def decode_thumbnails(media: list[bytes | None]) -> list[dict | str | None]:
     """Of each: width, height, frames and thumbnails (luminance, uint8); what is wrong with it; None for null."""
     result: list[dict | str | None] = [None] * len(media)
     groups: dict[tuple, list[tuple[int, int, dict]]] = {}
+    held = 0
     for i, x in enumerate(media):
         if x is None:
             continue
+        at, k = 0, 0
+        result[i] = {"frames": 0, "thumbs": []}
         try:
-            at, frames = 0, []
-            while not frames or at < len(x):
+            while not k or at < len(x):
                 frame, at = parse_frame(x, at)
-                frames.append(frame)
+                own = result[i]
+                if not isinstance(own, dict):  # an earlier frame of it turned out broken
+                    break
+                if not k:
+                    own |= {"width": frame["width"], "height": frame["height"]}
+                own["frames"] += 1
+                own["thumbs"].append(None)
+                groups.setdefault(frame["layout"], []).append((i, k, frame))
+                held, k = held + len(frame["scan"]), k + 1
+                if held >= SCAN_AT_ONCE:
+                    _decode_groups(groups, result)
+                    held = 0
         except (BadJpeg, struct.error, IndexError) as e:
             result[i] = str(e) or "cut short"
+    _decode_groups(groups, result)
+    return result
+
+
+def _decode_groups(groups: dict[tuple, list[tuple[int, int, dict]]], result: list) -> None:
+    """Thumbnails of the frames, by tables; empties ``groups``. Those of pictures found broken are left out."""
+    for layout, found in groups.items():
+        members = [m for m in found if isinstance(result[m[0]], dict)]
+        if not members:
             continue
-        result[i] = {"width": frames[0]["width"], "height": frames[0]["height"], "frames": len(frames), "thumbs": [None] * len(frames)}
-        for k, f in enumerate(frames):
-            groups.setdefault(f["layout"], []).append((i, k, f))
-    for layout, members in groups.items():
         try:
             _decode_group(layout, members, result)
         except BadJpeg:  # one of them is broken: find out which
@@ -303,13 +329,14 @@ def decode_thumbnails(media: list[bytes | None]) -> list[dict | str | None]:
                     _decode_group(layout, [one], result)
                 except BadJpeg as e:
                     result[one[0]] = str(e)
-    return result
+    groups.clear()
 
 
 def _decode_group(layout: tuple, members: list[tuple[int, int, dict]], result: list) -> None:
     offsets = np.cumsum([0, *(len(f["scan"]) for _, _, f in members)])
     scan = np.concatenate([f["scan"] for _, _, f in members])
     starts = np.concatenate([f["starts"] + o for (_, _, f), o in zip(members, offsets, strict=False)])
+    stops = np.concatenate([np.append(f["starts"][1:], len(f["scan"])) + o for (_, _, f), o in zip(members, offsets, strict=False)])
     counts = []
     for _, _, f in members:
         total, each = f["mcus"][0] * f["mcus"][1], f["interval"]
@@ -323,7 +350,8 @@ def _decode_group(layout: tuple, members: list[tuple[int, int, dict]], result: l
     values = np.zeros((int(first[-1]), luma), np.int32)
     for at in range(0, len(order), LANES_AT_ONCE):
         own = order[at : at + LANES_AT_ONCE]
-        got = _decode_lanes(scan, starts[own], mcus[own], layout)
+        low, high = int(starts[own].min()), int(stops[own].max())
+        got = _decode_lanes(scan[low:high], starts[own] - low, mcus[own], layout)
         there = np.arange(got.shape[1])
         inside = there < mcus[own][:, None]
         values[(first[own][:, None] + there)[inside]] = got[inside]
@@ -361,47 +389,50 @@ def _added(df: DataFrame, work, fields: str, names: list[str]) -> DataFrame:
     return kept.mapInArrow(work, extended(kept, fields))
 
 
-def store_payloads(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``n_bytes``, ``payload_bytes`` and ``media``: the padded UTF-8 bytes as a JPEG."""
+_STORED = ["n_bytes", "payload_bytes", "media"]
+_READ = ["media_width", "media_height", "media_frames", "thumbnail", "thumbnail_hash", "media_error"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, text):
-            raw = [(x or "").encode() for x in b.column(text).to_pylist()]
-            payloads = [pad_payload(x) for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(map(len, raw), pa.int64()), pa.array(map(len, payloads), pa.int64()), pa.array(encode_payloads(payloads), pa.binary())],
-                names=[*b.schema.names, "n_bytes", "payload_bytes", "media"],
-            )
 
-    return _added(df, work, "n_bytes long, payload_bytes long, media binary", ["n_bytes", "payload_bytes", "media"])
+def _store(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches, text, STEP_BYTES):
+        raw = [(x or "").encode() for x in b.column(text).to_pylist()]
+        payloads = [pad_payload(x) for x in raw]
+        sizes = [pa.array(map(len, x), pa.int64()) for x in (raw, payloads)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *sizes, pa.array(encode_payloads(payloads), pa.binary())], names=[*b.schema.names, *_STORED])
 
 
-def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds the dimensions, frames, thumbnail (bytes, row by row), its hash and what is wrong, of each JPEG in ``media``."""
-    names = ["media_width", "media_height", "media_frames", "thumbnail", "thumbnail_hash", "media_error"]
+def _read(batches: Iterator[pa.RecordBatch], media: str) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
+    for b in steps(batches, media, STEP_BYTES):
+        rows = []
+        for x in decode_thumbnails(b.column(media).to_pylist()):
+            if isinstance(x, dict):
+                own = "-".join(thumbnail_hash(t) for t in x["thumbs"])
+                rows.append((x["width"], x["height"], x["frames"], b"".join(t.tobytes() for t in x["thumbs"]), own, None))
+            else:
+                rows.append((None, None, None, None, None, x))
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*b.schema.names, *_READ])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, media):
-            rows = []
-            for x in decode_thumbnails(b.column(media).to_pylist()):
-                if isinstance(x, dict):
-                    own = "-".join(thumbnail_hash(t) for t in x["thumbs"])
-                    rows.append((x["width"], x["height"], x["frames"], b"".join(t.tobytes() for t in x["thumbs"]), own, None))
-                else:
-                    rows.append((None, None, None, None, None, x))
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*b.schema.names, *names])
 
-    return _added(df, work, "media_width int, media_height int, media_frames int, thumbnail binary, thumbnail_hash string, media_error string", names)
+def store_payloads(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``n_bytes``, ``payload_bytes`` and ``media``: the padded UTF-8 bytes as a JPEG."""
+    return _added(df, lambda batches: _store(batches, text), "n_bytes long, payload_bytes long, media binary", _STORED)
+
+
+def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
+    """Adds the dimensions, frames, thumbnail (bytes, row by row), its hash and what is wrong, of each JPEG in ``media``."""
+    fields = "media_width int, media_height int, media_frames int, thumbnail binary, thumbnail_hash string, media_error string"
+    return _added(df, lambda batches: _read(batches, media), fields, _READ)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store_payloads(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    read = media_columns(stored)
+    """``store_payloads``, then ``media_columns``, then digests of both, step by step in one worker."""
+    small_batches(spark)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _read(_store(batches, "text"), "media"):
             back, media = b.column("thumbnail").to_pylist(), b.column("media").to_pylist()
+            shape = zip(*(b.column(c).to_pylist() for c in ("media_width", "media_height", "media_frames", "thumbnail_hash")), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(b.column(c) for c in ("doc_id", "n_bytes")),
@@ -410,12 +441,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pa.array([zlib.crc32(x[-32:]) for x in back], pa.int64()),
                     pa.array(map(len, media), pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in media]),
-                    b.column("feature"),
+                    pa.array([f"{w}x{h}x{n}:{own}" for w, h, n, own in shape]),
                 ],
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    feature = F.concat_ws(":", F.concat_ws("x", "media_width", "media_height", "media_frames"), "thumbnail_hash").alias("feature")
-    return read.select("doc_id", "n_bytes", "thumbnail", "media", feature).mapInArrow(
-        digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(
+        work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
