@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.draws import drawn
+
 TREES = 200
 TREE_ROWS = 256
 SAMPLE_ROWS = 16_384
@@ -88,9 +90,7 @@ def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = S
 
 def fit(features: DataFrame, columns: list[str], row_id: str, rows: int, **kw) -> Forest:
     """``rows``: of the table, for the draw; ``kw``: trees, rows a tree, seed."""
-    span = 1 << 32
-    drawn = features.filter(F.pmod(F.xxhash64(row_id, F.lit(SEED)), F.lit(span)) * F.lit(rows) < F.lit(span * SAMPLE_ROWS)).orderBy(row_id)
-    sample = drawn.select(*columns).toArrow()
+    sample = features.filter(drawn(F.xxhash64(row_id, F.lit(SEED)), SAMPLE_ROWS, rows)).orderBy(row_id).select(*columns).toArrow()
     x = np.stack([sample.column(c).to_numpy() for c in columns], axis=1)
     return grow(x, **kw)
 

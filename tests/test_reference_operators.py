@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import pipeline
+from tallyframe.functions.draws import drawn
 from tallyframe.operators import anomalies, cleaning, forecast, iforest, kgraph, patterns, profile
 from tallyframe.plans.cleaning_plan import CleaningPlan, DateParser, Fill, heuristic_plan
 from tallyframe.sources import readers, sinks
@@ -280,3 +281,11 @@ def test_value_counts_leave_out_columns_of_many(spark):
     df = spark.range(500).selectExpr("cast(id as string) many", "cast(id % 3 as string) few", "if(id % 2 = 0, null, 'x') holes", "cast(id % 26 as string) edge")
     assert stats.value_counts(df, df.columns, 25) == {"few": 3, "holes": 2}
     assert stats.value_counts(df, df.columns, 26)["edge"] == 26
+
+
+def test_draws_of_any_number_of_rows(spark):
+    """Three thousand million rows, more than a 32-bit draw times its rows leaves room for."""
+    hashes = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    for rows, least, most in ((3 * 10**9, 0, 20), (10**13, 0, 2), (200_000, 15_700, 17_100), (100, 200_000, 200_000), (0, 200_000, 200_000)):
+        for given in (rows, F.lit(rows).cast("long")):
+            assert least <= hashes.filter(drawn(F.col("h"), 16_384, given)).count() <= most
