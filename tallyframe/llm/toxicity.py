@@ -6,10 +6,12 @@ p(s) = sigmoid(b + sum of the weights of its distinct features), and the documen
 labels, so that the model finds out by itself which sentences made a document toxic; these are
 what ``score_documents`` lists as offending.
 
-The model is fitted on a bounded sample of the labelled documents: FIT_DOCS of either label at
-most, drawn by a hash of the id, of at most FIT_BYTES bytes each; each label's rows weigh as
-much as they do among all labelled rows. Features take part if they are in MIN_DOCS documents of
-the sample and G2 of feature against label is at least MIN_G2, the WORDS best of them at most.
+The model is fitted on a bounded sample of the labelled documents, FIT_DOCS of either label at
+most, drawn by a hash of the id; each label's rows weigh as much as they do among all labelled rows. Whole
+texts count, however long: executors find their features, and the driver gets, of each document, how many
+sentences have none of the vocabulary's, and the distinct sets that the others have. Features take part if they are
+in MIN_DOCS documents of the sample and G2 of feature against label is at least MIN_G2, the WORDS
+best of them at most.
 
 Sentences end at ``. ! ?`` and line ends. Words are runs of letters and digits, lower-cased.
 Features are the words and, as insults are inflected too, their first 4 and first 5 bytes.
@@ -17,7 +19,8 @@ Features are the words and, as insults are inflected too, their first 4 and firs
 Defined results: null and empty texts have no sentence with words and get the score of a
 document of one empty sentence. Without labelled rows every score is next to 0; with
 one label only, every document that has words gets it. Labels repeated for an id count once, as toxic if any
-says so; null ids and labels don't count. The output's columns replace those of the same names.
+says so; of texts that share an id one is learned from; null ids, labels and texts don't count. The output's
+columns replace those of the same names.
 """
 
 from __future__ import annotations
@@ -25,24 +28,24 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, expm1, log, log1p
-from zlib import crc32
+from math import exp, expm1, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrowtools import extended, id_remainder, small_batches, table, without
+from tallyframe.llm.arrowtools import extended, id_remainder, small_batches, steps, table, without
+from tallyframe.session import cut
 
-FIT_DOCS = 2000
-FIT_BYTES = 1 << 16
+FIT_DOCS = 3000
 MIN_DOCS = 3
 MIN_G2 = 15.0
 WORDS = 4096
 LEADS = (4, 5)
 ROUNDS = 400
-BUCKETS = 1 << 20
+#: Bytes of text that a step of the operators takes; a longer single text is a step of its own.
+STEP_BYTES = 1 << 20
 _ENDS = b".!?\n\r"
 #: Sentence ends become line ends, what is in no word becomes a space.
 _TABLE = bytes(10 if b in _ENDS else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -60,10 +63,6 @@ def features(words: list[bytes]) -> set[tuple[int, bytes]]:
     return {(n, w[:n] if n else w) for w in words for n in (0, *LEADS) if len(w) > n}
 
 
-def _bucket(feature: tuple[int, bytes]) -> int:
-    return crc32(feature[1], feature[0]) % BUCKETS
-
-
 def softplus(z):
     return np.logaddexp(0, z)
 
@@ -114,45 +113,47 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + exp(-z)) if z > -700 else 0.0
 
 
-def train(texts: list[str], toxic: list[int], weigh: tuple[float, float] = (1.0, 1.0), l2: float = 0.02) -> Model:
+def g2(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of features that so many toxic and clean documents have, of n1 and n0."""
+    toxic, clean, n = np.asarray(toxic, float), np.asarray(clean, float), n1 + n0
+    total = np.zeros_like(toxic)
+    for seen, row, column in ((toxic, toxic + clean, n1), (clean, toxic + clean, n0), (n1 - toxic, n - toxic - clean, n1), (n0 - clean, n - toxic - clean, n0)):
+        there = seen > 0
+        total[there] += 2 * seen[there] * np.log(seen[there] * n / (row[there] * column))
+    return total
+
+
+def feature_counts(texts: list[str], toxic: list[int]) -> dict[tuple[int, bytes], list[int]]:
+    """Of each feature, how many clean and how many toxic documents have it."""
+    found: dict[tuple[int, bytes], list[int]] = {}
+    for t, label in zip(texts, toxic, strict=True):
+        for f in features(folded(t).split()):
+            found.setdefault(f, [0, 0])[label] += 1
+    return found
+
+
+def bag(text: str, vocabulary: dict[tuple[int, bytes], int]) -> tuple[int, Counter]:
+    """Sentences that have words but none of the vocabulary's features, and how often each set of features is a sentence's."""
+    plain, sets = 0, Counter()
+    for words in map(bytes.split, folded(text).split(b"\n")):
+        if own := vocabulary.keys() & features(words):
+            sets[tuple(sorted(map(vocabulary.__getitem__, own)))] += 1
+        elif words:
+            plain += 1
+    return plain, sets
+
+
+def learn(vocabulary: dict[tuple[int, bytes], int], bags: list[tuple[int, Counter]], toxic: list[int], weigh: tuple[float, float] = (1.0, 1.0), l2: float = 0.02) -> Model:
     """Maximises the weighted likelihood; ``weigh``: what a row of label 0 and of label 1 counts."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, 20.0 if share else -20.0)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-
-    def g2(a, b) -> float:
-        g = 0.0
-        for seen, row, column in ((a, a + b, n1), (b, a + b, n0), (n1 - a, len(y) - a - b, n1), (n0 - b, len(y) - a - b, n0)):
-            if seen:
-                g += 2 * seen * log(seen * len(y) / (row * column))
-        return g
-
-    # documents with a feature of each bucket first, so that only features of promising buckets need be held
-    hits = np.zeros((2, BUCKETS), np.int32)
-    for t, label in zip(texts, toxic, strict=True):
-        hits[label][np.unique(np.fromiter(map(_bucket, features(folded(t).split())), np.int64))] += 1
-    good = {int(k) for k in np.flatnonzero(hits.sum(axis=0) >= MIN_DOCS) if g2(int(hits[1, k]), int(hits[0, k])) >= MIN_G2}
-    seen_in = (Counter(), Counter())
-    for t, label in zip(texts, toxic, strict=True):
-        seen_in[label].update(f for f in features(folded(t).split()) if _bucket(f) in good)
-    ranked = []
-    for f in seen_in[0].keys() | seen_in[1].keys():
-        if seen_in[0][f] + seen_in[1][f] >= MIN_DOCS and (g := g2(seen_in[1][f], seen_in[0][f])) >= MIN_G2:
-            ranked.append((-g, f))
-    vocabulary = {w: i for i, (_, w) in enumerate(sorted(ranked)[:WORDS])}
-    doc_of, plain, word, sentence = [], np.zeros(len(y)), [], []
-    for d, t in enumerate(texts):
-        for words in map(bytes.split, folded(t).split(b"\n")):
-            own = vocabulary.keys() & features(words)
-            if own:
-                word += map(vocabulary.__getitem__, own)
-                sentence += [len(doc_of)] * len(own)
-                doc_of.append(d)
-            elif words:
-                plain[d] += 1
-    word, sentence, doc_of = (np.array(x, np.int64) for x in (word, sentence, doc_of))
+    plain = np.array([n for n, _ in bags], float)
+    sets = [(d, s, n) for d, (_, own) in enumerate(bags) for s, n in own.items()]
+    doc_of, times = np.array([d for d, _, _ in sets], np.int64), np.array([n for _, _, n in sets], float)
+    word = np.array([w for _, s, _ in sets for w in s], np.int64)
+    sentence = np.repeat(np.arange(len(sets)), [len(s) for _, s, _ in sets])
     weight = np.where(y == 1, weigh[1], weigh[0])
     weight /= weight.sum()
     x = np.zeros(len(vocabulary) + 1)
@@ -161,9 +162,9 @@ def train(texts: list[str], toxic: list[int], weigh: tuple[float, float] = (1.0,
     for t in range(1, ROUNDS + 1):
         w, b = x[:-1], x[-1]
         z = b + np.bincount(sentence, w[word], len(doc_of))
-        total = np.bincount(doc_of, softplus(z), len(y)) + plain * softplus(b) + 1e-9
+        total = np.bincount(doc_of, times * softplus(z), len(y)) + plain * softplus(b) + 1e-9
         to_total = weight * np.where(y == 1, -1 / np.expm1(total), 1.0)
-        to_z = to_total[doc_of] / (1 + np.exp(-z))
+        to_z = times * to_total[doc_of] / (1 + np.exp(-z))
         grad = np.append(np.bincount(word, to_z[sentence], len(w)), to_z.sum() + (to_total * plain).sum() / (1 + np.exp(-b)))
         grad[:-1] += l2 / len(y) * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -176,7 +177,8 @@ def train(texts: list[str], toxic: list[int], weigh: tuple[float, float] = (1.0,
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
-    """The model of a bounded sample of ``labels``; two passes over labels, one over the documents."""
+    """The model of a bounded sample of ``labels``; two passes over labels, one over the documents, two over the sample."""
+    small_batches(docs.sparkSession)
     flags = (
         labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("y"))
         .filter("id is not null and y in (0, 1)")
@@ -186,17 +188,40 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sizes = {r.y: r.n for r in flags.groupBy("y").agg(F.count("*").alias("n")).collect()}
     drawn = [flags.filter(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(FIT_DOCS) for k in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * FIT_DOCS rows at most
-    rows = (
-        docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        .filter(F.octet_length("text") <= FIT_BYTES)
-        .join(chosen, "id")
-        .orderBy("id", "text")
-        .limit(4 * FIT_DOCS)  # repeated ids can't lift the sample over its bound
-        .collect()
-    )
-    got = Counter(r.y for r in rows)
-    weigh = tuple(sizes.get(k, 0) / got[k] if got[k] else 1.0 for k in (0, 1))
-    return train([r.text for r in rows], [r.y for r in rows], weigh)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").join(chosen, "id")
+    sample = cut(rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), F.col("text"))).alias("t")).select("id", "y", "t.text"))
+    got = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = got.get(0, 0), got.get(1, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text", STEP_BYTES):
+            found = feature_counts(b.column("text").to_pylist(), b.column("y").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in (0, 1))],
+                names=["n", "bytes", "clean", "toxic"],
+            )
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = g2(b.column("toxic").to_numpy(), b.column("clean").to_numpy(), n1, n0)
+            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("bytes"), pa.array(good)], names=["n", "bytes", "g2"])
+
+    counted = sample.select("y", "text").mapInArrow(count, "n int, bytes binary, clean long, toxic long").groupBy("n", "bytes").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    judged = counted.filter(F.col("clean") + F.col("toxic") >= MIN_DOCS).mapInArrow(judge, "n int, bytes binary, g2 double")
+    best = judged.filter(F.col("g2") >= MIN_G2).orderBy(F.col("g2").desc(), "n", "bytes").limit(WORDS)
+    vocabulary = {(r.n, bytes(r.bytes)): i for i, r in enumerate(best.collect() if n0 and n1 else [])}
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text", STEP_BYTES):
+            bags = [bag(t, vocabulary) for t in b.column("text").to_pylist()]
+            found = [pa.array([list(own) for _, own in bags], pa.list_(pa.list_(pa.int32()))), pa.array([list(own.values()) for _, own in bags], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([n for n, _ in bags], pa.int64()), *found], names=["id", "y", "plain", "sets", "times"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    found = sample.mapInArrow(sets, f"id {kind}, y int, plain long, sets array<array<int>>, times array<long>").orderBy("id").collect() if n0 or n1 else []
+    bags = [(r.plain, Counter(dict(zip(map(tuple, r.sets), r.times, strict=True)))) for r in found]
+    weigh = tuple(sizes.get(k, 0) / n if n else 1.0 for k, n in enumerate((n0, n1)))
+    return learn(vocabulary, bags, [r.y for r in found], weigh)
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -209,7 +234,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text") -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score
-        for b in batches:
+        for b in steps(batches, text, STEP_BYTES):
             rows = [score(x) for x in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
