@@ -26,7 +26,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyframe.llm.arrowtools import small_batches, steps, table
-from tallyframe.llm.neardup import span_hashes
+from tallyframe.llm.spans import GOLD, mix, sixteens
 from tallyframe.llm.splitting import _PLAIN, WORD_PATTERN, splitter
 from tallyframe.session import cut
 
@@ -81,8 +80,9 @@ class WordEncoder:
 
     The file's steps are applied here to whole texts (normal form C, lower case by code point,
     the splitting pattern), and its BPE to words that aren't remembered. Strings of special
-    tokens are ordinary text. Plain texts (ASCII and À to ſ) are split, looked up by 64-bit
-    hashes of their words and put together in numpy; others word by word.
+    tokens are ordinary text. Plain texts (ASCII and À to ſ) are split, looked up and put together
+    in numpy; words of up to 16 bytes are two numbers, others go by their bytes. Other texts are
+    looked up word by word.
     """
 
     def __init__(self, path: str = WORDS):
@@ -103,7 +103,11 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, bytes] = {}
-        self.slots: dict[int, int] = {}
+        #: Of the words of plain texts: keys in order, with their slots.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        #: By slot: what the word is (its bytes as two numbers, and how many; 0 for long ones, which are in ``long``).
+        self.words_are = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
+        self.long: dict[bytes, int] = {}
         #: Ids of the words of all slots in a row, and where each slot's begin; one more place than slots.
         self.pool, self.begins = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
@@ -112,7 +116,7 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Of several texts at once; words that none of them had before are encoded together."""
-        if len(self.known) + len(self.slots) >= REMEMBERED:
+        if 4 * (len(self.known) + len(self.long)) + len(self.begins) > REMEMBERED:
             self.forget()
         low = [(t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ")).lower() for t in texts]
         plain = [i for i, t in enumerate(low) if self.plain(t)]
@@ -129,21 +133,41 @@ class WordEncoder:
         joined = b"".join(raw)
         data = np.frombuffer(joined, np.uint8)
         first, end = plain_words(data)
-        hashes, at = np.unique(span_hashes(data, first, end), return_inverse=True)
-        slot = np.array(list(map(self.slots.get, hashes.tolist(), repeat(-1))), np.int64)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            where = np.empty(len(hashes), np.int64)
-            where[at[::-1]] = np.arange(len(at))[::-1]
-            ids, sizes = self._encode_words([joined[first[w] : end[w]].decode() for w in where[new].tolist()])
-            slot[new] = len(self.slots) + np.arange(len(new))
-            self.slots.update(zip(hashes[new].tolist(), slot[new].tolist(), strict=True))
+        low, high = sixteens(data, first, end)
+        size = end - first
+        keys, at = np.unique(mix(mix(low) + mix(high ^ GOLD) + size.astype(np.uint64)), return_inverse=True)
+        where = np.empty(len(keys), np.int64)  # where each key is first
+        where[at[::-1]] = np.arange(len(at))[::-1]
+        place = np.searchsorted(self.keys, keys)
+        there = place < len(self.keys)
+        there[there] = self.keys[place[there]] == keys[there]
+        fresh = ~there & (size[where] <= 16)
+        slot = np.full(len(keys), -1, np.int64)
+        slot[there] = self.slots[place[there]]
+        words = [joined[first[w] : end[w]] for w in where[fresh].tolist()]
+        slot[fresh] = len(self.begins) - 1 + np.arange(len(words))
+        self.keys, self.slots = (np.insert(x, place[fresh], y[fresh]) for x, y in ((self.keys, keys), (self.slots, slot)))
+        self.words_are = tuple(np.concatenate([x, y[where[fresh]]]) for x, y in zip(self.words_are, (low, high, size), strict=True))
+        # a key is a hash: the word itself decides, and words that are too long for it go by their bytes
+        slots = slot[at]
+        same = (size <= 16) & (slots >= 0)
+        for known, own in zip(self.words_are, (low, high, size), strict=True):
+            same[same] = known[slots[same]] == own[same]
+        for k in np.flatnonzero(~same).tolist():
+            w = joined[first[k] : end[k]]
+            if w not in self.long:
+                self.long[w] = len(self.begins) - 1 + len(words)
+                words.append(w)
+            slots[k] = self.long[w]
+        if words:
+            ids, sizes = self._encode_words([w.decode() for w in words])
             self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
             self.pool = np.concatenate([self.pool, ids])
-        begin, size = self.begins[slot], np.diff(self.begins)[slot]
-        each = size[at]
+            more = len(self.begins) - 1 - len(self.words_are[0])
+            self.words_are = tuple(np.concatenate([x, np.zeros(more, x.dtype)]) for x in self.words_are)
+        each = np.diff(self.begins)[slots]
         ends = np.concatenate([[0], np.cumsum(each)])
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], each)]
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begins[slots] - ends[:-1], each)]
         cuts = ends[np.searchsorted(first, np.cumsum([0, *map(len, raw)]))].tolist()
         return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 
