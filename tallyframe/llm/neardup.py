@@ -3,9 +3,10 @@
 1. A document is its distinct shingles of WORDS words (lower-cased runs of letters and digits),
    weighted by TF-IDF: count x (1 + ln((1 + N) / (1 + df)) / ln(1 + N)). The inverse document
    frequency is scaled to 0..1 before the 1 is added, so that the copies of a large group, whose
-   shingles are frequent for that very reason, still resemble each other. df comes from a
-   count-min sketch of one row over all documents, of SKETCH counters whatever the input: a
-   counter holds the documents of all its shingles, so rare ones look a little less rare, alike.
+   shingles are frequent for that very reason, still resemble each other. df is the least of what
+   SKETCH_ROWS rows of SKETCH counters over all documents say, after each row's median counter has been
+   taken off: that is what the many rare shingles put on every counter, so it doesn't grow on them
+   with the input. Where the counters are few for the shingles, df is blurred by the root of the median.
 2. Consistent weighted sampling draws HASHES samples (shingle, level) of every document; two
    documents agree in a sample with a probability of their weighted Jaccard similarity. ROWS
    samples make a band, and a document falls into a bucket for each band.
@@ -14,20 +15,21 @@
 4. Buckets whose members aren't one class by then are searched once more: all their pairs of
    different classes are compared by samples, in blocks of BLOCK nodes, each pair in the first bucket
    that it shares by its bands' keys. Nodes with a partner that agrees in LIKELY samples (at a similarity
-   of 0.8 all but one in 300,000 do) are then compared exactly with the others of their block, and only links that
-   join classes leave the task.
+   of 0.8 all but one in 300,000 do) are then compared exactly with the others of their block, in groups of about
+   GROUP_BYTES of text, and only links that join classes leave the task.
 5. Classes are the connected components of the links, found by alternating large and small stars.
 
 Nothing emits all pairs of a group whose members link: n near copies make n - 1 comparisons a
 band. With 16 bands of 3 a pair of similarity 0.8 shares a bucket with probability 0.99999.
 
 Defined results: null text is the empty text; texts without words are duplicates of equal texts
-only; texts of fewer than WORDS words are one shingle. Rows that share an id are one node, so of
-one class. Rows with a null id take no part and have no class. Empty table: no rows.
+only; texts of fewer than WORDS words are one shingle. Rows that share an id give one row, with the
+smallest class of theirs. Rows with a null id take no part and have no class. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +40,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import small_batches, steps, table
+from tallyframe.llm.spans import GOLD, mix, span_hashes
 from tallyframe.session import cut, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 HASHES = BANDS * ROWS
-SKETCH = 1 << 18
-SKETCH_CELLS = 1024
+#: Counters of the document frequencies, whatever the input; rows, and bits of a place in one.
+SKETCH_ROWS, SKETCH_BITS = 3, 20
+SKETCH = 1 << SKETCH_BITS
+#: Counters that travel as one value.
+SKETCH_CELLS = 1 << 16
 BLOCK = 512
+#: Bytes of text that are compared exactly at a time; a longer single text comes with its partners.
+GROUP_BYTES = 2 << 20
 #: Of HASHES; a pair of similarity 0.8 agrees in 38 on average, with a deviation of 2.8.
 LIKELY = 25
 #: Members of a leader that one group of comparisons takes.
@@ -58,39 +66,11 @@ _U = np.uint64
 _WORD = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def _stream(seed: int, n: int) -> np.ndarray:
-    return _mix((np.arange(1, n + 1, dtype=_U) + _U(seed << 32)) * _U(0x9E3779B97F4A7C15))
+    return mix((np.arange(1, n + 1, dtype=_U) + _U(seed << 32)) * GOLD)
 
 
-_BYTE = _stream(1, 256)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = _stream(2, WORDS) | _U(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(0, _U), "down": np.ones(0, _U)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
-
-
-def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of bytes [first, end), none of them empty: equal bytes, equal hashes."""
-    up, down = _power(len(data) + 1)
-    total = np.cumsum(_BYTE[data] * up[: len(data)])
-    before = np.where(first > 0, total[first - 1], _U(0))
-    return _mix((total[end - 1] - before) * down[first])
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +94,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     whole[: m - WORDS + 1] = doc[WORDS - 1 :] == doc[: m - WORDS + 1] if m >= WORDS else False
     start = np.cumsum(n) - n
     whole[start[(n > 0) & (n < WORDS)]] = True
-    mixed = _mix(mixed[whole])
+    mixed = mix(mixed[whole])
     sizes = np.maximum(n - WORDS + 1, np.minimum(n, 1))
     at = 0
     for k in sizes.tolist():
@@ -153,7 +133,7 @@ def samples(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.nd
     start = np.cumsum(sizes) - sizes
     log_s = np.log(weights).astype(np.float32)
     for k in range(HASHES):
-        x = _mix(hashes ^ _SEEDS[k])
+        x = mix(hashes ^ _SEEDS[k])
         r = _R[x >> _U(48)]
         b = ((x >> _U(16)) & _U(0xFFFF)).astype(np.float32) * np.float32(2**-16)
         t = np.floor(log_s / r + b)
@@ -161,7 +141,7 @@ def samples(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.nd
         least = np.minimum.reduceat(a, start)
         hit = np.flatnonzero(a == np.repeat(least, sizes))
         own = hit[np.searchsorted(hit, start)]
-        out[:, k] = _mix(hashes[own] + t[own].astype(np.int64).astype(_U) * _U(_BASE))
+        out[:, k] = mix(hashes[own] + t[own].astype(np.int64).astype(_U) * GOLD)
     return out
 
 
@@ -169,15 +149,19 @@ class Weights:
     """Of shingles, from the sketch."""
 
     def __init__(self, documents: int, sketch: np.ndarray):
+        df = np.clip(sketch - np.median(sketch, axis=1, keepdims=True), 1, max(1, documents))
         scale = np.log1p(max(1, documents))
-        self.by_cell = 1 + np.clip(np.log((1 + documents) / (1.0 + sketch)) / scale, 0, 1)
+        self.by_cell = (1 + np.clip(np.log((1 + documents) / (1.0 + df)) / scale, 0, 1)).astype(np.float32)
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * self.by_cell[sketch_cell(hashes)]
+        rare = self.by_cell[0][sketch_cell(hashes, 0)]
+        for row in range(1, SKETCH_ROWS):
+            np.maximum(rare, self.by_cell[row][sketch_cell(hashes, row)], out=rare)
+        return counts * rare.astype(np.float64)
 
 
-def sketch_cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(64 - 18)).astype(np.int64)
+def sketch_cell(hashes: np.ndarray, row: int) -> np.ndarray:
+    return (hashes >> _U(64 - SKETCH_BITS * (row + 1)) & _U(SKETCH - 1)).astype(np.int64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], total_a: float, total_b: float) -> float:
@@ -190,42 +174,50 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (total_a + total_b - both))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    kind = np.min_scalar_type(int(counts.max()))
+    return np.dtype(kind).char.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), packed[:1].decode())
+
+
 def document_frequencies(df: DataFrame, text: str) -> tuple[int, np.ndarray]:
-    """Documents, and the sketch: documents in each counter. Partitions are summed by executors, in cells."""
+    """Documents, and the sketch: what each counter of each row counted. Partitions are summed by executors, in cells."""
     small_batches(df.sparkSession)
+    cells = SKETCH_ROWS * SKETCH // SKETCH_CELLS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(SKETCH, np.int64), 0
+        total, n = np.zeros((SKETCH_ROWS, SKETCH), np.int64), 0
         for b in steps(batches, text, 1 << 20):
             n += b.num_rows
-            h, _, sizes = shingles(b.column(text).to_pylist())
-            cell = sketch_cell(h) + np.repeat(np.arange(len(sizes)), sizes) * SKETCH
-            total += np.bincount(np.unique(cell) % SKETCH, minlength=SKETCH)
-        yield _cells(total, n)
+            h, _, _ = shingles(b.column(text).to_pylist())
+            for row in range(SKETCH_ROWS):
+                np.add.at(total[row], sketch_cell(h, row), 1)
+        if n:
+            yield _cells(dict(enumerate(total.reshape(cells, SKETCH_CELLS))) | {cells: np.array([n])})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for cell, counts in zip(b.column("cell").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[cell] = sums.get(cell, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cell", "counts"])
+                sums[cell] = sums.get(cell, 0) + _unpacked(counts).astype(np.int64)
+        yield _cells(sums)
 
-    def _cells(total: np.ndarray, n: int) -> pa.RecordBatch:
-        parts = [*total.reshape(-1, SKETCH_CELLS), np.array([n])]
-        return pa.RecordBatch.from_arrays([pa.array(range(-len(parts) + 1, 1), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["cell", "counts"])
+    def _cells(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(map(_packed, parts.values()), pa.binary())], names=["cell", "counts"])
 
     schema = "cell int, counts binary"
-    sketch, n = np.zeros(SKETCH, np.int64), 0
-    cells = SKETCH // SKETCH_CELLS
+    sketch, n = np.zeros((cells, SKETCH_CELLS), np.int64), 0
     with tidy(df.sparkSession):
         summed = df.select(text).mapInArrow(count, schema).repartition("cell").mapInArrow(add, schema).collect()
-    for r in summed:  # SKETCH counters in all
-        if r.cell == 0:
-            n = int(np.frombuffer(r.counts, np.int64)[0])
+    for r in summed:  # SKETCH_ROWS x SKETCH counters in all
+        if r.cell == cells:
+            n = int(_unpacked(r.counts)[0])
         else:
-            at = (r.cell + cells) * SKETCH_CELLS
-            sketch[at : at + SKETCH_CELLS] = np.frombuffer(r.counts, np.int64)
-    return n, sketch
+            sketch[r.cell] = _unpacked(r.counts)
+    return n, sketch.reshape(SKETCH_ROWS, SKETCH)
 
 
 _BAND = [f"b{i}" for i in range(BANDS)]
@@ -233,8 +225,8 @@ _BYTES = [f"s{i}" for i in range(-(-HASHES // 8))]
 
 
 def signatures(df: DataFrame, weights, doc_id: str, text: str) -> DataFrame:
-    """(id, t0, t1: hash of the text; b0..: bands, null without words; s0..: a byte of every sample)."""
-    names = ["id", "t0", "t1", *_BAND, *_BYTES]
+    """(id, size: bytes of text; t0, t1: its hash; b0..: bands, null without words; s0..: a byte of every sample)."""
+    names = ["id", "size", "t0", "t1", *_BAND, *_BYTES]
     seeds = _stream(4, BANDS)
 
     def blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -262,20 +254,21 @@ def signatures(df: DataFrame, weights, doc_id: str, text: str) -> DataFrame:
             banded = out.reshape(len(texts), BANDS, ROWS)
             keys = seeds[None, :] ^ banded[:, :, 0]
             for r in range(1, ROWS):
-                keys = _mix(keys * _U(_BASE) + banded[:, :, r])
+                keys = mix(keys * GOLD + banded[:, :, r])
             low = np.zeros((len(texts), len(_BYTES) * 8), np.uint8)
             low[:, :HASHES] = (out & _U(255)).astype(np.uint8)
-            t = np.frombuffer(b"".join(xxhash.xxh3_128_digest((x or "").encode()) for x in texts), "<i8").reshape(-1, 2)
+            raw = [(x or "").encode() for x in texts]
+            t = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), "<i8").reshape(-1, 2)
             none = pa.array(sizes == 0)
             bands = [pc.if_else(none, pa.scalar(None, pa.int64()), pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64))) for i in range(BANDS)]
             packed = low.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(t[:, 0]), pa.array(t[:, 1]), *bands, *(pa.array(packed[:, i]) for i in range(len(_BYTES)))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(map(len, raw), pa.int64()), pa.array(t[:, 0]), pa.array(t[:, 1]), *bands, *(pa.array(packed[:, i]) for i in range(len(_BYTES)))], names=names)
 
     return df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null").mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
-    """Those pairs (a, b) whose texts have the similarity; docs: (id, text).
+    """Those pairs (a, b), each given once, whose texts have the similarity, with it; docs: (id, text).
 
     A leader's text goes once to each MEMBERS of its members, each member's text to its leader;
     sorted, every group is read in one stream that holds the leader's shingles only.
@@ -294,16 +287,16 @@ def verify(pairs: DataFrame, docs: DataFrame, weights, threshold: float = THRESH
             hashes, counts, sizes = shingles(b.column("text").to_pylist())
             w = weigh(hashes, counts)
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, float]] = []
             for i, (a, nth, member, d) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "nth", "member", "id")), strict=True)):
                 own = slice(ends[i], ends[i + 1])
                 if not member:
                     group, leader, total = (a, nth), (hashes[own].copy(), w[own].copy()), float(w[own].sum())
-                elif group == (a, nth) and similarity(leader, (hashes[own], w[own]), total, float(w[own].sum())) >= threshold:
-                    found.append((a, d))
-            yield _pairs_table(found)
+                elif group == (a, nth) and (s := similarity(leader, (hashes[own], w[own]), total, float(w[own].sum()))) >= threshold:
+                    found.append((a, d, s))
+            yield _links_table(found)
 
-    return rows.select("a", "nth", "member", "id", "text").mapInArrow(work, "a long, b long").distinct()
+    return rows.select("a", "nth", "member", "id", "text").mapInArrow(work, _LINKS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -336,14 +329,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, list]]:
-    """Runs of equal (key, i, j) of sorted rows, as lists by column."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[dict[str, list]]:
+    """Runs of equal keys of sorted rows, as lists by column."""
     held: dict[str, list] = {n: [] for n in names}
     now = None
     for b in batches:
         cols = {n: b.column(n).to_pylist() for n in names}
         at = 0
-        for k, g in enumerate(zip(cols["key"], cols["i"], cols["j"], strict=True)):
+        for k, g in enumerate(zip(*(cols[n] for n in keys), strict=True)):
             if g != now:
                 for n in names:
                     held[n] += cols[n][at:k]
@@ -356,29 +349,33 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
         yield held
 
 
-def _pairs_table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True) if pairs else ([], [])
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+_LINKS = "a long, b long, similarity double"
+
+
+def _links_table(links: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    a, b, s = zip(*links, strict=True) if links else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
 
 def _likely(buckets: DataFrame) -> DataFrame:
-    """(key, i, j, own, rep, class) of the nodes that have a likely partner of another class in their pair of blocks.
+    """(key, i, j, own, rep, class, cuts) of the nodes that have a likely partner of another class in their pair of blocks.
 
-    buckets: (key, band, n, rep, class, b0.., s0..), only those of several classes.
+    buckets: (key, band, n, rep, class, size, b0.., s0..), only those of several classes. cuts: into how many parts by
+    bytes the nodes of a pair of blocks have to be dealt for the exact comparison.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         buckets.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "rep", "class", *_BAND, *_BYTES)
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "rep", "class", "size", *_BAND, *_BYTES)
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "rep")
     )
-    names = ["key", "i", "j", "band", "own", "rep", "class", *_BAND, *_BYTES]
+    names = ["key", "i", "j", "band", "own", "rep", "class", "size", *_BAND, *_BYTES]
     kept = ["key", "i", "j", "own", "rep", "class"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, names):
+        for g in _groups(batches, ["key", "i", "j"], names):
             low = np.stack([np.array(g[c], np.int64) for c in _BYTES], axis=1).view(np.uint8)[:, :HASHES]
             own, cls, band = np.array(g["own"]), np.array(g["class"]), g["band"][0]
             before = np.stack([np.array(g[c], np.int64) for c in _BAND], axis=1)[:, :band]
@@ -392,19 +389,30 @@ def _likely(buckets: DataFrame) -> DataFrame:
                     hit[x] = True
                     hit[right[good]] = True
             at = np.flatnonzero(hit).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([g[c][k] for k in at], pa.int32() if c in ("i", "j", "own") else pa.int64()) for c in kept], names=kept)
+            cuts = -(-sum(g["size"][k] for k in at) // GROUP_BYTES)
+            cols = [pa.array([g[c][k] for k in at], pa.int32() if c in ("i", "j", "own") else pa.int64()) for c in kept]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([cuts] * len(at), pa.int32())], names=[*kept, "cuts"])
 
-    return dealt.mapInArrow(work, "key long, i int, j int, own int, rep long, class long")
+    return dealt.mapInArrow(work, "key long, i int, j int, own int, rep long, class long, cuts int")
 
 
 def _linked(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """Links (a, b) that join classes within the pairs of blocks of ``nodes``, by exact similarity."""
-    names = ["key", "i", "j", "own", "rep", "class", "text"]
-    rows = nodes.join(texts, nodes.rep == texts.id).select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    """Links (a, b, similarity) that join classes within the pairs of blocks of ``nodes``, by exact similarity."""
+    keys = ["key", "i", "j", "p", "q"]
+    names = [*keys, "own", "part", "rep", "class", "text"]
+    part, other = F.col("part"), F.col("other")
+    same, left = F.col("i") == F.col("j"), F.col("own") == F.col("i")
+    dealt = (
+        nodes.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cuts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .withColumn("p", F.when(same, F.least(part, other)).when(left, part).otherwise(other))
+        .withColumn("q", F.when(same, F.greatest(part, other)).when(left, other).otherwise(part))
+    )
+    rows = dealt.join(texts, dealt.rep == texts.id).select(*names).repartition(*keys).sortWithinPartitions(*keys, "rep")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = weights.value
-        for g in _groups(batches, names):
+        for g in _groups(batches, keys, names):
             hashes, counts, sizes = shingles(g["text"])
             if not len(hashes) or not sizes.all():
                 continue
@@ -412,8 +420,8 @@ def _linked(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
             known, at = np.unique(hashes, return_inverse=True)
             start = np.cumsum(sizes) - sizes
             total = np.add.reduceat(w, start)
-            own, parent = np.array(g["own"]), {c: c for c in g["class"]}
-            right = np.flatnonzero(own == g["j"][0])
+            own, part, parent = np.array(g["own"]), np.array(g["part"]), {c: c for c in g["class"]}
+            right = np.flatnonzero((own == g["j"][0]) & (part == g["q"][0]))
             dense, found = np.zeros(len(known)), []
 
             def root(c: int, parent=parent) -> int:
@@ -421,7 +429,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
                     parent[c] = c = parent[parent[c]]
                 return c
 
-            for x in np.flatnonzero(own == g["i"][0]).tolist():
+            for x in np.flatnonzero((own == g["i"][0]) & (part == g["p"][0])).tolist():
                 span = slice(start[x], start[x] + sizes[x])
                 dense[at[span]] = w[span]
                 both = np.add.reduceat(np.minimum(w, dense[at]), start)
@@ -430,35 +438,50 @@ def _linked(nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
                     a, b = root(g["class"][x]), root(g["class"][y])
                     if a != b:
                         parent[max(a, b)] = min(a, b)
-                        found.append((min(g["rep"][x], g["rep"][y]), max(g["rep"][x], g["rep"][y])))
-            yield _pairs_table(found)
+                        s = float(both[y] / (total[y] + total[x] - both[y]))
+                        found.append((min(g["rep"][x], g["rep"][y]), max(g["rep"][x], g["rep"][y]), s))
+            yield _links_table(found)
+
+    return rows.mapInArrow(work, _LINKS).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
-    return rows.mapInArrow(work, "a long, b long").distinct()
 
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, links: bool = False) -> DataFrame:
+    """(id, class_id) of each row: the smallest id of its class.
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id) of each row: the smallest id of its class."""
+    With ``links`` also n_links, how many of the links on which the classes rest are the text's own,
+    best_similarity, the largest of these, and copies, how many rows have the same text.
+    """
     sc = df.sparkSession.sparkContext
-    weights = sc.broadcast(Weights(*document_frequencies(df.select(F.col(text).alias("text")), "text")))  # SKETCH numbers
+    weights = sc.broadcast(Weights(*document_frequencies(df.select(F.col(text).alias("text")), "text")))  # SKETCH_ROWS x SKETCH numbers
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     signed = cut(signatures(docs, weights, "id", "text"))
-    reps = cut(signed.groupBy("t0", "t1").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in (*_BAND, *_BYTES)]))
-    banded = reps.filter("b0 is not null").select("rep", *_BYTES, F.posexplode(F.array(*_BAND)).alias("band", "key"))
+    reps = cut(
+        signed.groupBy("t0", "t1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in (*_BAND, *_BYTES)])
+    )
+    banded = reps.filter("b0 is not null").select("rep", "size", *_BYTES, F.posexplode(F.array(*_BAND)).alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     members = cut(banded.join(buckets, "key"))
     texts = cut(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"))
     star = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(verify(star, texts, weights, threshold))
-    classes = components(links)
+    found = cut(verify(star, texts, weights, threshold))
+    classes = components(found.select("a", "b"))
     classed = members.join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root", "leader")
     split = classed.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).filter("_x <> _y").select("key")
     shared = classed.join(split, "key").join(reps.select("rep", *_BAND), "rep")
     more = cut(_linked(_likely(shared), texts, weights, threshold))
     if not more.isEmpty():
-        classes = components(links.unionByName(more))
-    by_text = reps.select("t0", "t1", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("t0", "t1", F.coalesce("root", "rep").alias("class_id"))
-    return signed.select("id", "t0", "t1").join(by_text, ["t0", "t1"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
+        found = found.unionByName(more)
+        classes = components(found.select("a", "b"))
+    own = ["t0", "t1", "rep", *(["copies"] if links else [])]
+    by_text = reps.select(*own).join(classes, F.col("rep") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "rep")).drop("node", "root")
+    out = [F.min("class_id").alias("class_id")]
+    if links:
+        ends = found.select("similarity", F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").agg(F.count("*").alias("n_links"), F.max("similarity").alias("best_similarity"))
+        by_text = by_text.join(ends, F.col("rep") == F.col("_end"), "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).drop("_end")
+        out += [F.sum("n_links").alias("n_links"), F.max("best_similarity").alias("best_similarity"), F.sum("copies").alias("copies")]
+    rows = signed.select("id", "t0", "t1").distinct() if links else signed.select("id", "t0", "t1")
+    return rows.join(by_text.drop("rep"), ["t0", "t1"]).groupBy("id").agg(*out)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True).withColumnRenamed("id", "doc_id")
