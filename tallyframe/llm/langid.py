@@ -7,12 +7,14 @@ n bytes, c log2(SAMPLE_BYTES) / n estimates the cross entropy in bits a byte. A
 where a sample is shorter, so that a tiny one is not the cheapest for every document. The language of least entropy wins, ties go to
 the first name.
 
-Text is lower-cased UTF-8, ASCII characters other than letters being spaces.
-All bytes of a document count. For numpy's sake a document is read in windows of WINDOW bytes,
-next to each other; a phrase ends at a window's end, for every language alike.
+Text is lower-cased UTF-8, ASCII characters other than letters being spaces. All bytes of a document
+count. A document is read in windows of WINDOW bytes side by side; a phrase that a window's border
+cuts is put right after: every window but a document's first is read again from the state in
+which the one before ended, as far as that makes a difference.
 
-The automata are fitted on a bounded sample: SAMPLE_DOCS documents of a language at most in
-expectation, equal texts counting once (all where there are no more), drawn by a hash of the text, of which the first SAMPLE_BYTES bytes are used.
+The automata are fitted on a bounded sample: of SAMPLE_DOCS documents of a language at most in
+expectation, equal texts counting once (all where there are no more), drawn by a hash of the text, a stretch of
+each at a place drawn by the same hash, SAMPLE_BYTES bytes in all. The model grows with the number of languages.
 
 Defined results: text that is null or has no letter is ``und`` with score 0. With no labelled
 text at all, everything is ``und``. ``lang_pred``, ``score`` and ``bits`` replace columns of these names.
@@ -20,21 +22,24 @@ text at all, everything is ``und``. ``lang_pred``, ``score`` and ``bits`` replac
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.draws import drawn
 from tallyframe.llm.arrowtools import extended, id_remainder, small_batches, steps, table, without
 
-SAMPLE_BYTES = 24_000
+SAMPLE_BYTES = 40_000
 SAMPLE_DOCS = 256
 WINDOW = 512
-LETTER = re.compile(r"[^\W\d_]")
+#: Windows that are read side by side.
+WINDOWS = 4096
+LETTER = regex.compile(r"\p{L}")
 NOTHING = "und"
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -114,46 +119,75 @@ class CrossParser:
         first = np.concatenate([[0], np.cumsum(windows)])
         for t, w in zip(texts, first, strict=False):
             flat[w * WINDOW : w * WINDOW + len(t)] = self.symbol[np.frombuffer(t, np.uint8)]
+        goes_on = np.ones(int(first[-1]), bool)
+        goes_on[first[:-1][windows > 0]] = False
         count = np.zeros((len(self.langs), first[-1]), np.int32)
-        for a in range(0, int(first[-1]), 4096):
-            lines = np.ascontiguousarray(flat[a * WINDOW : (a + 4096) * WINDOW].reshape(-1, WINDOW).T).astype(self.cells.dtype)
+        last = list(self.start)  # where each language's parse of the window before ended
+        for a in range(0, int(first[-1]), WINDOWS):
+            lines = np.ascontiguousarray(flat[a * WINDOW : (a + WINDOWS) * WINDOW].reshape(-1, WINDOW).T).astype(self.cells.dtype)
             for k, start in enumerate(self.start):
-                state, own = np.full(lines.shape[1], start, lines.dtype), np.zeros(lines.shape[1], np.int32)
-                for line in lines:
-                    cell = self.cells[state + line]
-                    own += cell & 1
-                    state = cell >> 1
-                count[k, a : a + lines.shape[1]] = own
+                count[k, a : a + lines.shape[1]], last[k] = self._windows(lines, start, last[k], goes_on[a : a + lines.shape[1]])
         total = np.concatenate([np.zeros((len(self.langs), 1), np.int64), np.cumsum(count, axis=1)], axis=1)
         return (total[:, first[1:]] - total[:, first[:-1]]).T
 
+    def _windows(self, lines: np.ndarray, start: int, before: int, goes_on: np.ndarray) -> tuple[np.ndarray, int]:
+        """Phrases that begin in each window (columns), those that go on being read from the end of the one before; and the last end."""
+        n = lines.shape[1]
+        read, state = np.empty_like(lines), np.full(n, start, lines.dtype)
+        for t, line in enumerate(lines):
+            read[t] = self.cells[state + line]
+            state = read[t] >> 1
+        count, end = (read & 1).sum(axis=0, dtype=np.int32), state
+        more, begun = np.zeros(n, np.int32), np.full(n, start, lines.dtype)
+        while True:
+            follows = np.where(goes_on, np.concatenate([[before], end[:-1]]), start).astype(lines.dtype)
+            again = np.flatnonzero(follows != begun)
+            if not len(again):
+                return count + more, int(end[-1])
+            begun[again] = follows[again]
+            more[again], end[again] = 0, read[-1, again] >> 1
+            own, state = again, follows[again]
+            for t in range(WINDOW):
+                cell, known = self.cells[state + lines[t, own]], read[t, own]
+                more[own] += (cell & 1).astype(np.int32) - (known & 1).astype(np.int32)
+                apart = cell >> 1 != known >> 1
+                own, state = own[apart], cell[apart] >> 1
+                if not len(own):
+                    break
+            end[own] = state
+
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Cross entropy in bits a byte."""
         return self.phrases(texts) * np.log2(SAMPLE_BYTES) / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
 def sample(labelled: DataFrame, text: str, lang: str, seed: int = 7) -> dict[str, bytes]:
-    """The bounded sample of each language, on the driver."""
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and text <> ''")
+    """The bounded sample of each language, on the driver: at most 4 x SAMPLE_BYTES characters in expectation come there."""
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
     sizes = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text", F.lit(seed + 1))).alias("n"))
-    span = 1 << 32
-    drawn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(span))
+    stretch = F.ceil(F.lit(4.0 * SAMPLE_BYTES) / F.least("n", F.lit(SAMPLE_DOCS))).cast("int")
+    place = F.pmod(F.xxhash64("text", F.lit(seed + 2)), F.greatest(F.char_length("text") - stretch + 1, F.lit(1))).cast("int") + 1
     chosen = (
-        rows.withColumn("draw", drawn)
+        rows.withColumn("draw", F.xxhash64("text", F.lit(seed)))
         .join(F.broadcast(sizes), "lang")  # as many rows as the model has languages
-        .filter(F.col("draw") * F.col("n") < F.lit(span) * SAMPLE_DOCS)
-        .groupBy("lang", "text")
-        .agg(F.min("draw").alias("draw"))
+        .filter(drawn(F.col("draw"), SAMPLE_DOCS, F.col("n")))
+        .select("lang", "draw", F.substring("text", place, stretch).alias("text"))
+        .distinct()
     )
     parts: dict[str, list[tuple]] = defaultdict(list)
     for r in chosen.collect():
-        parts[r.lang].append((r.draw, r.text))
-    out = {}
-    for name, own in parts.items():
-        joined = b" ".join(normal(t) for _, t in sorted(own) if LETTER.search(t))[:SAMPLE_BYTES]
-        if joined:
-            out[name] = joined
-    return out
+        parts[r.lang].append((r.draw, normal(r.text)))
+    return {name: joined for name, own in parts.items() if (joined := b" ".join(_evenly([t for _, t in sorted(own)], SAMPLE_BYTES)))}
+
+
+def _evenly(texts: list[bytes], most: int) -> list[bytes]:
+    """The texts cut to one length, such that they have about ``most`` bytes in all."""
+    left, room = len(texts), most
+    for n in sorted(map(len, texts)):
+        if n * left > room:
+            return [t[: max(1, room // left)] for t in texts]
+        left, room = left - 1, room - n
+    return texts
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> CrossParser:
