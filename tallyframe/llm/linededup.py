@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.arrowtools import extended, small_batches, table, without
+from tallyframe.llm.arrowtools import extended, small_batches, steps, table, without
 from tallyframe.session import cut
 
 MIN_POINTS = 10
 KEYS_IN_SHARD = 200_000
 PROBES_IN_TASK = 400_000
+#: Bytes of text that a step takes; a longer single text is a step of its own.
+STEP_BYTES = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -122,7 +124,7 @@ def document_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     small_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches, "text", STEP_BYTES):
             ids, hashes = [], []
             for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = {key_hash(k) for k in map(line_key, set(x.encode().split(b"\n"))) if k is not None}
@@ -176,15 +178,17 @@ def line_drops(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keys_i
 def drop_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``n_lines``, ``n_dropped`` and ``kept_text``."""
     names = ["n_lines", "n_dropped", "kept_text"]
-    kept = without(df, [*names, "drops"])
-    drops = line_drops(kept, doc_id, text).select(F.col("doc_id").alias("_doc"), "drops")
-    joined = kept.join(drops, F.col(f"`{doc_id}`").cast("long") == F.col("_doc"), "left").drop("_doc")
-    fields = [f for f in joined.schema if f.name != "drops"]
+    kept = without(df, names)
+    column = {c: f"c{i}" for i, c in enumerate(kept.columns)}  # so that no name of the input meets one of these
+    rows = kept.toDF(*column.values())
+    drops = line_drops(rows, column[doc_id], column[text]).select(F.col("doc_id").alias("doc"), "drops")
+    joined = rows.join(drops, F.col(column[doc_id]).cast("long") == F.col("doc"), "left").drop("doc")
+    fields = list(column.values())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches, column[text], STEP_BYTES):
             n_lines, n_dropped, texts = [], [], []
-            for x, gone in zip(b.column(text).to_pylist(), b.column("drops").to_pylist(), strict=True):
+            for x, gone in zip(b.column(column[text]).to_pylist(), b.column("drops").to_pylist(), strict=True):
                 lines = (x or "").split("\n")
                 n_lines.append(len(lines))
                 if gone:
@@ -193,11 +197,10 @@ def drop_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text
                 n_dropped.append(n_lines[-1] - len(lines))
                 texts.append("\n".join(lines))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(f.name) for f in fields), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())],
-                names=[*(f.name for f in fields), *names],
+                [*(b.column(f) for f in fields), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())], names=[*fields, *names]
             )
 
-    return joined.mapInArrow(work, extended(joined.drop("drops"), "n_lines long, n_dropped long, kept_text string"))
+    return joined.mapInArrow(work, extended(rows, "n_lines long, n_dropped long, kept_text string")).toDF(*kept.columns, *names)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

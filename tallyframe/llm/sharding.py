@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.names import quoted
 from tallyframe.functions.ordering import with_group_rank, with_position
 from tallyframe.llm.arrowtools import table
 
@@ -29,7 +30,7 @@ SEED = 5
 def interleave(df: DataFrame, source: str, ties: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds ``shard`` (from 0) and ``slot`` (gapless from 0 in it); ``ties``: the columns that tell rows apart."""
     own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
-    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    rows = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(own)])
     name = {c: f"c{i}" for i, c in enumerate(own)}
     tied = [name[t] for t in ties]
     shuffled = rows.withColumn("_h", F.xxhash64(F.lit(seed), *tied))
