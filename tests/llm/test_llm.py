@@ -110,11 +110,50 @@ def test_near_duplicates_compare_pairs_that_only_seem_to_share_an_earlier_bucket
     """All bytes of the samples agree, the keys of the first band don't: band 1 is the pair's first bucket, band 2 its second."""
     bytes_ = ", ".join(f"0L as {c}" for c in neardup._BYTES)
     keys = ", ".join(f"{'id' if i == 0 else i} as {c}" for i, c in enumerate(neardup._BAND))
-    rows = spark.range(1, 3).selectExpr("explode(array(1, 2)) as band", "2L as n", "id as rep", "id as class", *keys.split(", "), *bytes_.split(", "))
+    rows = spark.range(1, 3).selectExpr("explode(array(1, 2)) as band", "2L as n", "id as rep", "id as class", "9L as size", *keys.split(", "), *bytes_.split(", "))
     got = neardup._likely(rows.selectExpr("cast(band as long) as key", "*")).collect()
     assert sorted((r.key, r.rep) for r in got) == [(1, 1), (1, 2)]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_near_duplicates_lose_no_link_in_split_buckets(spark, monkeypatch, seed):
+    """Families of edited copies of copies, blocks and groups of a few texts: classes equal brute force, links are exact."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "GROUP_BYTES", 2000)
+    rng = random.Random(100 + seed)
+    docs = {}
+    for _ in range(4):
+        w = prose(rng, 90).split()
+        for _ in range(14):
+            docs[len(docs)] = " ".join(w)
+            if rng.random() < 0.2:
+                docs[len(docs)] = " ".join(w)
+            w = list(w)
+            for _ in range(rng.choice((1, 1, 2))):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = neardup.near_duplicates(df, links=True).collect()
+    want = classes_by_force(docs)
+    assert {r.id: r.class_id for r in rows} == want and len(set(want.values())) < len(docs) / 3
+    for r in rows:
+        alone = sum(c == want[r.id] for c in want.values()) == 1
+        assert r.copies == sum(t == docs[r.id] for t in docs.values())
+        assert (r.n_links == 0) == (len({docs[i] for i in docs if want[i] == want[r.id]}) == 1) and (alone or r.n_links or r.copies > 1)
+        assert r.best_similarity is None if not r.n_links else 0.8 <= r.best_similarity < 1
+
+
+def test_rare_shingles_stay_rare_in_a_crowded_sketch():
+    rng = np.random.default_rng(6)
+    n, rare = 200_000, rng.integers(0, 2**63, 3 * neardup.SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    hot = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    sketch = np.stack([np.bincount(neardup.sketch_cell(rare, r), minlength=neardup.SKETCH) + n // 3 * np.bincount(neardup.sketch_cell(hot, r), minlength=neardup.SKETCH) for r in range(neardup.SKETCH_ROWS)])
+    weigh = neardup.Weights(n, sketch)
+    exact = lambda df: 1 + math.log((1 + n) / (1 + df)) / math.log1p(n)
+    got = weigh(rare[:20_000], np.ones(20_000))
+    assert abs(got.mean() - exact(1)) < 0.02 and (got > exact(8)).mean() > 0.99
+    assert abs(weigh(hot, np.ones(50)) - exact(n / 3)).max() < 0.01
+
+
 def test_near_duplicates_of_odd_input(spark):
     rows = neardup.near_duplicates(odd_docs(spark)).collect()
     got = {r.id: r.class_id for r in rows}
@@ -132,7 +171,7 @@ def test_shingles_and_samples():
     for i in range(0, 600, 25):
         other[i] = "zz" + str(i)
     h, c, s = neardup.shingles([" ".join(base), " ".join(other)])
-    w = neardup.Weights(2, np.zeros(neardup.SKETCH))(h, c)
+    w = neardup.Weights(2, np.zeros((neardup.SKETCH_ROWS, neardup.SKETCH)))(h, c)
     exact = neardup.similarity((h[: s[0]], w[: s[0]]), (h[s[0] :], w[s[0] :]), w[: s[0]].sum(), w[s[0] :].sum())
     drawn = neardup.samples(h, w, s)
     assert abs((drawn[0] == drawn[1]).mean() - exact) < 0.25
@@ -141,7 +180,7 @@ def test_shingles_and_samples():
 def test_document_frequencies_count_every_document(spark):
     df = spark.createDataFrame([(i, "a b c d e") for i in range(50)] + [(99, "")], "doc_id long, text string").repartition(7)
     n, sketch = neardup.document_frequencies(df, "text")
-    assert n == 51 and sketch.sum() == 50 and sketch.max() == 50
+    assert n == 51 and (sketch.sum(axis=1) == 50).all() and (sketch.max(axis=1) == 50).all()
 
 
 def test_components(spark):
@@ -187,6 +226,44 @@ def test_ledger_batches_in_any_order_and_bad_ones(spark, tmp_path):
     assert ledger.commit("nothing", tokencounts.changes(df.limit(0), "insert", new=n))
 
 
+def test_ledger_entry_of_a_writer_that_died_is_none(spark, tmp_path, monkeypatch):
+    """The writer dies before its entry has a name in the log; the batch can be committed again, and counts once."""
+    df = spark.createDataFrame([("a", "en", "x y z")], "source string, lang string, text string")
+    batch = tokencounts.changes(df, "insert", new={"words-v1": tokencounts.token_count(F.col("text"), "words-v1")})
+    ledger = tokencounts.Ledger(spark, str(tmp_path / "l"))
+    with monkeypatch.context() as m:
+        m.setattr(tokencounts.Ledger, "_name", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            ledger.commit("one", batch)
+    assert ledger.committed() == set() and ledger.totals().count() == 0
+    assert ledger.commit("one", batch) and not ledger.commit("one", batch)
+    assert ledger.totals().first().tokens == 3
+    assert ledger.sweep(older_than=0) == 1 and ledger.totals().first().tokens == 3
+
+
+def test_two_attempts_at_a_batch_and_two_compactions_of_one_log(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", "en", "x y z")], "source string, lang string, text string")
+    batch = tokencounts.changes(df, "insert", new={"words-v1": tokencounts.token_count(F.col("text"), "words-v1")})
+    one, two = (tokencounts.Ledger(spark, str(tmp_path / "l")) for _ in range(2))
+    with monkeypatch.context() as m:
+        m.setattr(two, "committed", set)  # looked before the other was done
+        assert one.commit("a/b: 1", batch) and not two.commit("a/b: 1", batch)
+    one.commit("two", batch)
+    log = one._log()
+    with monkeypatch.context() as m:
+        m.setattr(two, "_log", lambda: log)
+        assert one.compact() and not two.compact()
+    assert one.totals().first().tokens == 6
+    one.commit("three", batch)  # comes between a compaction's reading and its end
+    log = one._log()
+    one.commit("four", batch)
+    with monkeypatch.context() as m:
+        m.setattr(two, "_log", lambda: log)
+        assert two.compact()
+    assert not one.compact() or one.totals().first().tokens == 12
+    assert one.totals().first().tokens == 12 and one.committed() == {"a/b: 1", "two", "three", "four"}
+
+
 # --- 3 toxicity ----------------------------------------------------------------------------------
 
 
@@ -205,8 +282,13 @@ def toxic_corpus(n, seed):
     return out
 
 
-def test_toxicity_held_out_and_sentences():
-    model = toxicity.train(*zip(*((t, y) for t, y, _ in toxic_corpus(600, 1)), strict=True))
+def toxic_tables(spark, corpus):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(corpus)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, (_, y, _) in enumerate(corpus)], "doc_id long, toxic int")
+
+
+def test_toxicity_held_out_and_sentences(spark):
+    model = toxicity.fit(*toxic_tables(spark, toxic_corpus(600, 1)))
     held = toxic_corpus(200, 2)
     assert np.mean([int(model.score(t)[0] >= 0.5) == y for t, y, _ in held]) > 0.97
     for t, y, k in held:
@@ -227,7 +309,48 @@ def test_toxicity_of_odd_input(spark):
     labels = spark.createDataFrame([(4, 1, 1), (4, 0, 0), (None, 0, 1), (20, 0, None), (999, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs, labels).bias == 20.0
     assert toxicity.fit(docs, labels.limit(0)).bias == -20.0
-    assert toxicity.train([], []).score("x")[0] < 0.01
+    assert toxicity.learn({}, [], []).score("x")[0] < 0.01
+
+
+def test_toxicity_scores_equal_a_plain_noisy_or():
+    """Sentences by a pattern, features by slices of words, products of probabilities."""
+    import re
+
+    rng = random.Random(31)
+    vocabulary = {(0, b"vileo"): 2.5, (4, b"scum"): 3.0, (5, b"vilea"): -1.5, (0, "örv".encode()): 0.7, (4, b"kast"): -0.4}
+    model = toxicity.Model({n: {w: x for (m, w), x in vocabulary.items() if m == n} for n in (0, 4, 5)}, -2.0)
+    for _ in range(300):
+        text = "".join(rng.choice((prose(rng, 3), "Vileo", "SCUMO vilean", "örv", "! ", ".\n", " ? ", "\r\n", "kasta", "")) + rng.choice((" ", "")) for _ in range(rng.randrange(12)))
+        clean, n = 1.0, 0
+        for part in re.split(r"[.!?\n\r]", text.lower()):
+            words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", part)
+            if words:
+                n += 1
+                own = {(k, w.encode()[:k] if k else w.encode()) for w in words for k in (0, 4, 5) if len(w.encode()) > k}
+                z = model.bias + sum(x for f, x in vocabulary.items() if f in own)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        if not n:
+            clean = 1 - 1 / (1 + math.exp(-model.bias))
+        score, sentences, _ = model.score(text)
+        assert abs(score - (1 - clean)) < 1e-9 and sentences == n
+
+
+def test_toxicity_learns_from_whole_long_texts(spark):
+    """The only word that tells the labels apart stands at the end of texts far longer than a step."""
+    rng = random.Random(33)
+    long = [" ".join(rng.choices(WORDS, k=40_000)) + (". Such scumo." if i % 2 else ". Such zuna.") for i in range(12)]
+    corpus = toxic_corpus(100, 34) + [(t, i % 2, None) for i, t in enumerate(long)]
+    model = toxicity.fit(*toxic_tables(spark, [(t, y, k) for t, y, k in corpus if y == 0 or k is None]))
+    assert model.score("Such scumo.")[0] > 0.5 > model.score("Such zuna.")[0]
+
+
+def test_toxicity_counts_and_bags():
+    got = toxicity.feature_counts(["scumo scumo ab", "scumo", "ab"], [1, 0, 0])
+    assert got[0, b"scumo"] == [1, 1] and got[4, b"scum"] == [1, 1] and got[0, b"ab"] == [1, 1] and (5, b"scumo") not in got
+    plain, sets = toxicity.bag("Ab x. ab! Y z\n\nscumo ab", {(0, b"ab"): 0, (4, b"scum"): 1})
+    assert plain == 1 and sets == {(0,): 2, (0, 1): 1}
+    table = toxicity.g2(np.array([10, 5]), np.array([0, 50]), 10, 100)
+    assert table[0] > 60 and abs(table[1]) < 1e-9
 
 
 # --- 4 packing -----------------------------------------------------------------------------------
@@ -242,6 +365,26 @@ def test_words_encode_as_the_library_does():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_regular_words_of_one_length_keep_their_ids():
+    """Words on which sums of powers modulo 2^64 agree; of a and b by the parity of set bits."""
+    for n in (8, 16, 64, 2048):
+        a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        texts = [a, a.translate({97: "b", 98: "a"}), f"{a} {a} x", "aaaaaaaa", "aaaaaaab", "x\x00 x"]
+        lib = Tokenizer.from_file(packing.WORDS)
+        own = packing.WordEncoder()
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        h, _, sizes = neardup.shingles(texts[:2])
+        assert h[0] != h[1] and sizes.tolist() == [1, 1]
+
+
+def test_words_of_one_key_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing, "mix", lambda x: x & np.uint64(0))  # every word has the key of its length
+    own, lib = packing.WordEncoder(), Tokenizer.from_file(packing.WORDS)
+    texts = ["the cat sat on the mat", "cat the dog", "a cat and mat, sat 1 2 3 !"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_uses_the_histogram_exactly():
     rng = np.random.default_rng(1)
     for sizes in (8, 32):
@@ -312,6 +455,25 @@ def test_shards_match_the_mixture(spark):
     assert again == {r.doc_id: (r.shard, r.slot) for r in out}
 
 
+@pytest.mark.parametrize("n", [0, 1, 23, 24, 25, 1000])
+def test_shards_equal_a_plain_interleaving(spark, n):
+    """Shuffle each source by hash, rank, sort by fractional rank, cut: in plain Python, hashes alone being Spark's."""
+    from fractions import Fraction
+
+    rows = [(i // 2 if i % 10 == 3 else i, "hot" if i % 3 else f"s{i % 7}" if i % 5 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("a `b`", F.lit(1))
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(sharding.SEED), "doc_id").alias("h")).collect()}
+    by_source = defaultdict(list)
+    for d, s in rows:
+        by_source[s].append((hashes[d], d))
+    order = sorted((float(Fraction(2 * k + 1, 2)) / len(own), s is not None, s or "", h, d) for s, own in by_source.items() for k, (h, d) in enumerate(sorted(own)))
+    want = sorted((d, at * 24 // n) for at, (*_, d) in enumerate(order))
+    got = sharding.interleave(df, "source", ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.shard) for r in got) == want
+    firsts = {k: min(at for at in range(n) if at * 24 // n == k) for k in range(24) if any(at * 24 // n == k for at in range(n))}
+    assert sorted((r.shard, r.slot) for r in got) == sorted((at * 24 // n, at - firsts[at * 24 // n]) for at in range(n))
+
+
 def test_sharding_of_odd_input(spark):
     docs = odd_docs(spark)
     out = sharding.interleave(docs.select("doc_id", "source", "text"), "source", ["doc_id", "text"]).collect()
@@ -385,22 +547,24 @@ def language(rng, syllables, n):
 TONGUES = {"aa": ["the", "ing", "on", "sh", "er"], "bb": ["éa", "que", "oi", "tre", "la"], "cc": ["漢", "字", "日", "本", "語"]}
 
 
-def test_phrases_equal_a_plain_greedy_parse():
+@pytest.mark.parametrize("side_by_side", [langid.WINDOWS, 2])
+def test_phrases_equal_a_plain_greedy_parse(monkeypatch, side_by_side):
+    """Whole texts, whatever windows they are read in; regular ones, in which a parse doesn't find back, too."""
+    monkeypatch.setattr(langid, "WINDOWS", side_by_side)
     rng = random.Random(10)
     samples = {k: langid.normal(language(rng, s, 300)) for k, s in TONGUES.items()}
     parser = langid.CrossParser(samples)
-    texts = [langid.normal(language(rng, s, n)) for s in TONGUES.values() for n in (1, 5, 200)] + [b"", b"zzz"]
+    texts = [langid.normal(language(rng, s, n)) for s in TONGUES.values() for n in (1, 5, 200, 900)] + [b"", b"zzz"]
+    texts += [b"the ing on " * 300, samples["bb"], samples["aa"][:700] + samples["aa"][:700], b"er" * 1500]
     got = parser.phrases(texts)
     for t, row in zip(texts, got, strict=True):
         for name, n in zip(parser.langs, row, strict=True):
-            count = 0
-            for w in range(0, len(t), langid.WINDOW):
-                part, i = t[w : w + langid.WINDOW], 0
-                while i < len(part):
-                    j = i + 1
-                    while j < len(part) and part[i : j + 1] in samples[name]:
-                        j += 1
-                    count, i = count + 1, j
+            count, i = 0, 0
+            while i < len(t):
+                j = i + 1
+                while j < len(t) and t[i : j + 1] in samples[name]:
+                    j += 1
+                count, i = count + 1, j
             assert n == count
 
 
@@ -423,11 +587,19 @@ def test_language_of_few_distinct_texts_and_of_a_tiny_sample(spark):
     assert bits[0].argmin() == 0 and bits[1].min() > 6.5
 
 
+def test_language_sample_takes_stretches_of_many_texts(spark):
+    rng = random.Random(14)
+    rows = [(f"mark{i:03d} " + prose(rng, 30_000 if i < 3 else 300) + f" mark{i:03d}", "aa") for i in range(100)]
+    drawn = langid.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert 0.9 * langid.SAMPLE_BYTES <= len(drawn["aa"]) <= langid.SAMPLE_BYTES + 100
+    assert langid._evenly([b"a" * 5, b"b" * 100, b"c" * 100], 65) == [b"a" * 5, b"b" * 30, b"c" * 30]
+
+
 def test_language_of_odd_input(spark):
-    docs = odd_docs(spark, [(30, "12 34!"), (31, "un deux trois")])
+    docs = odd_docs(spark, [(30, "12 34!"), (31, "un deux trois"), (32, "½ ² ① Ⅷ")])
     parser = langid.CrossParser({"fr": b"un deux trois quatre", "en": b"one two three four word"})
     out = {r.doc_id: r for r in langid.identify(docs, parser).collect()}
-    assert [out[i].lang_pred for i in (1, 2, 3, 30, 31, 7)] == ["und", "und", "und", "und", "fr", "en"] and out[1].score == 0
+    assert [out[i].lang_pred for i in (1, 2, 3, 30, 32, 31, 7)] == ["und", "und", "und", "und", "und", "fr", "en"] and out[1].score == 0
     nothing = langid.fit(empty(spark))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(empty(spark), parser).count() == 0
@@ -463,6 +635,14 @@ def test_lines_equal_brute_force(spark, monkeypatch, keys, probes):
     assert got == lines_by_force(rows)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(i, "a line that repeats\nown line number %d" % i, [i], i) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, drops array<int>, _doc int").withColumn("a `b`.c", F.lit("x"))
+    out = linededup.drop_repeated_lines(df).orderBy("doc_id")
+    assert out.columns == [*df.columns, "n_lines", "n_dropped", "kept_text"]
+    assert [(r.drops, r._doc, r["a `b`.c"], r.n_dropped) for r in out.collect()] == [([0], 0, "x", 0), ([1], 1, "x", 1), ([2], 2, "x", 1)]
+
+
 def test_line_dedup_of_empty_tables(spark):
     assert linededup.drop_repeated_lines(empty(spark)).count() == 0
     one = linededup.drop_repeated_lines(odd_docs(spark)).filter("doc_id = 1").first()
@@ -528,6 +708,29 @@ def test_neighbours_in_a_large_group_of_near_copies(spark):
     assert np.mean([len(set(found[q]) & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [1.0, 0.2]), (2, [0.9, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 3)) for r in ann.search(df, F.col("vec_id") % 50 == 0, k=2).collect())
+    assert got == sorted([(50, 1, 2, 1.0), (50, 2, 50, 1.0)] * 2 + [(50, 1, 1, 0.196), (50, 2, 2, 0.0)])
+
+
+def test_neighbours_with_lists_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_LISTS", 8)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 16)) + 3 * rng.normal(size=(30, 16))[rng.integers(0, 30, 1500)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = ann.fit(df, "vec_id", "embedding")
+    assert len(q.coarse) == 8 and len(q.fine) == 5 and q.lists == 40 and q.probes < 40
+    plain = np.linalg.norm(x[:3, None] - q.centre(np.arange(40)), axis=2).argsort(axis=1)
+    assert (q.order(x[:3])[:, :5] == plain[:, :5]).all()
+    found = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    want = nearest_by_force(np.arange(1500), x, range(0, 1500, 20))
+    assert np.mean([len(found[i] & {v for v, _ in want[i]}) / 5 for i in want]) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
