@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.session import cut
+from tallyframe.session import cut, fewer
 
 _LOCAL = (1 << 33) - 1
 
@@ -18,7 +18,7 @@ def placed(df: DataFrame, *keys: Column | str, parts: int | None = None) -> Data
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return cut(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))}))
+    return cut(fewer(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))})))
 
 
 def with_position(df: DataFrame, *keys: Column | str, name: str = "position", parts: int | None = None) -> DataFrame:

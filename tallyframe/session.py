@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Megabytes of a partition, below which ``fewer`` joins some.
+PART_MB = 16
+
+
 def get_session(app: str = "tallyframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators assume (UTC, AQE, Arrow)."""
     b = SparkSession.builder.appName(app)
@@ -72,6 +76,17 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def fewer(df: DataFrame, mb: float | None = None) -> DataFrame:
+    """``df`` in no more partitions than four a core or one for each PART_MB; it has ``mb`` or what the plan's statistics say.
+
+    A table that is small for its partitions makes as many small files when it is cut.
+    """
+    if mb is None:
+        mb = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+    most = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-int(mb) // PART_MB))
+    return df.coalesce(most) if most < 1 << 20 else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: its lineage ends here and survives lost executors."""
     shared_dir(df.sparkSession)
