@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.names import JOIN_KEY, quoted, visible
@@ -11,23 +11,23 @@ from tallyframe.functions.names import JOIN_KEY, quoted, visible
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(position, column, dtype, row_count, null_count, null_pct, n_unique), a row a column.
 
-    One pass over narrow rows: every row becomes its (position, value) pairs, which are counted by
-    value before the shuffle. ``approximate`` keeps a sketch a column instead of the values.
+    One pass over narrow rows: every row becomes pairs of a position and a value's 128-bit hash, which are counted
+    before the shuffle, so that no value is shuffled. ``approximate`` keeps a sketch a column instead.
     """
     names = visible(df)
     dtypes = dict(df.dtypes)
     known = df.sparkSession.createDataFrame([(i, n, dtypes[n]) for i, n in enumerate(names)], "position int, column string, dtype string")
     if not names:
         return known.selectExpr("*", "0L row_count", "0L null_count", "0D null_pct", "0L n_unique")
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.col(quoted(n)).cast("string").alias("value")) for i, n in enumerate(names)])).alias("p")).select("p.*")
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), *_hashes(F.col(quoted(n)).cast("string"))) for i, n in enumerate(names)])).alias("p")).select("p.*")
     if approximate:
         counted = pairs.groupBy("position").agg(
-            F.count("*").alias("row_count"), F.count_if(F.col("value").isNull()).alias("null_count"), (F.approx_count_distinct("value") + F.max(F.col("value").isNull().cast("int"))).alias("n_unique")
+            F.count("*").alias("row_count"), F.count_if(F.col("h1").isNull()).alias("null_count"), (F.approx_count_distinct("h1") + F.max(F.col("h1").isNull().cast("int"))).alias("n_unique")
         )
     else:
-        by_value = pairs.groupBy("position", "value").agg(F.count("*").alias("n"))
+        by_value = pairs.groupBy("position", "h1", "h2").agg(F.count("*").alias("n"))
         counted = by_value.groupBy("position").agg(
-            F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count("*").alias("n_unique")
+            F.sum("n").alias("row_count"), F.sum(F.when(F.col("h1").isNull(), F.col("n")).otherwise(0)).alias("null_count"), F.count("*").alias("n_unique")
         )
     zero = F.lit(0).cast("long")
     filled = known.join(counted, "position", "left").select("position", "column", "dtype", *[F.coalesce(c, zero).cast("long").alias(c) for c in ("row_count", "null_count", "n_unique")])
@@ -35,6 +35,11 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     return filled.select("position", "column", "dtype", "row_count", "null_count", pct.alias("null_pct"), "n_unique")
 
 
+def _hashes(value: Column) -> list[Column]:
+    """Two independent halves of a hash; null for null."""
+    return [F.when(value.isNotNull(), h).alias(name) for name, h in (("h1", F.xxhash64(value)), ("h2", F.xxhash64(F.lit(7), value)))]
+
+
 def join_key_candidates(profile: DataFrame) -> DataFrame:
     """(column, rank): 0 named like a key, 1 nearly unique and named like an id, 2 unique; by rank, then name."""
     named = F.regexp_replace(F.trim("column"), " ", "_").rlike(f"(?i){JOIN_KEY.pattern}")

@@ -89,13 +89,21 @@ def infer_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(casts)
 
 
+def _lines_in_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether some line has an odd number of quotes, as one does where a quoted value goes on in the next line."""
+    text = spark.read.option("encoding", encoding).text(path)
+    return not text.filter((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Large files are read in splits, unless quoted values hold line ends: then a file is one task."""
     raw = head_bytes(spark, path, 100_000)
     encoding = sniff_encoding(raw, len(raw) == 100_000)
     text = raw[:8192].decode(encoding, errors="replace")
     if not text.strip():
         return spark.createDataFrame([], T.StructType())
-    rows = spark.read.csv(path, header=True, sep=sniff_delimiter(text), encoding=_SPARK_NAMES[encoding], enforceSchema=False, mode="FAILFAST", multiLine=True, ignoreTrailingWhiteSpace=False)
+    whole = _lines_in_quotes(spark, path, _SPARK_NAMES[encoding])
+    rows = spark.read.csv(path, header=True, sep=sniff_delimiter(text), encoding=_SPARK_NAMES[encoding], enforceSchema=False, mode="FAILFAST", multiLine=whole, ignoreTrailingWhiteSpace=False)
     return infer_numbers(with_row_id(rows)).select(*rows.columns, "_row_id")
 
 

@@ -79,6 +79,38 @@ def test_empty_and_wrong_files(spark, tmp_path):
         readers.expand(spark, [str(tmp_path / "*.nothing")])
 
 
+def test_csv_is_split_unless_values_hold_line_ends(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "".join(f'{i},"x, {i}"\n' for i in range(60_000)))
+    (tmp_path / "lines.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = readers.load_file(spark, str(tmp_path / "plain.csv"))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 60_000 and df.orderBy("_row_id").first().b == "x, 0"
+        assert [r.b for r in readers.load_file(spark, str(tmp_path / "lines.csv")).orderBy("a").collect()] == ["x\ny", "z"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_forest_scores_equal_a_plain_walk():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 3))
+    forest = iforest.grow(x, trees=20, rows=64)
+    points = rng.normal(size=(40, 3)) * 2
+
+    def depth(p, root):
+        node = root
+        while forest.child[node] != node:
+            node = forest.child[node] + (p[forest.feature[node]] >= forest.cut[node])
+        return forest.depth[node]
+
+    c = 2 * (np.log(63) + np.euler_gamma) - 2 * 63 / 64
+    want = [2 ** (-np.mean([depth(p, r) for r in forest.roots]) / c) for p in points]
+    assert np.allclose(forest.score(points), want)
+
+
 def test_plan_cleans_messy_orders(spark, messy):
     plan = CleaningPlan(
         renames={"order id": "order_id"}, currency=("amount",), dates=(DateParser("order_date"),), dtypes={"amount": "float", "order_date": "date"},
@@ -96,7 +128,7 @@ def test_plan_cleans_messy_orders(spark, messy):
 def test_validation_fails_on_duplicates_and_columns(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, v double")
     v = cleaning.validate(df, CleaningPlan(dedup_keys=("k",), required=("k", "w"), max_duplicate_rate=0.01))
-    assert not v.passed and v.missing_columns == ["w"] and v.duplicate_rate == 0.3333 and "exceeds" in v.message
+    assert not v.passed and v.missing_columns == ["w"] and v.duplicate_rate == 0.3333 and "are allowed" in v.message
 
 
 def test_forward_fill_spans_partitions(spark):
@@ -169,7 +201,7 @@ def test_discover_and_cards(spark):
     cards = patterns.insight_cards(found).collect()
     assert cards and all(c.impact in ("high", "medium", "low") for c in cards)
     none = patterns.insight_cards(patterns.discover(df.limit(0).select("amount")))
-    assert [c.title for c in none.collect()] == ["Limited signal in dataset"]
+    assert [c.title for c in none.collect()] == ["Nothing stands out"]
 
 
 def test_isolation_forest_ranks_the_outlier_first(spark, outlier):
@@ -210,6 +242,16 @@ def test_forecast_kinds(spark):
     assert forecast.train(forecast.daily_series(days, "order_date", "amount"), 5, {"broken": broken, "linear": forecast.linear_forecast})[1] == "linear"
     assert forecast.run(days, models={"broken": broken}).status == "failed"
 
+    def breaks_when_run(daily, horizon):
+        return daily.select(F.raise_error(F.lit("late")).alias("date"))
+
+    assert forecast.train(forecast.daily_series(days, "order_date", "amount"), 5, {"late": breaks_when_run, "linear": forecast.linear_forecast})[1] == "linear"
+    assert forecast.run(days).model == "linear"
+    weeks = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0 + i + (5 if i % 7 == 2 else 0)) for i in range(28)], "order_date date, amount double")
+    f = forecast.run(weeks)
+    points = f.forecast.orderBy("date").collect()
+    assert f.model == "weekly" and len(points) == 30 and points[2].value - (points[1].value + points[3].value) / 2 > 4 and points[0].lower <= points[0].value <= points[0].upper
+
 
 def test_graph(spark):
     df = spark.createDataFrame([("East", "a"), ("East", "b"), ("West", "a"), (" ", "a")], "region string, sku string")
