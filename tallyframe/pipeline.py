@@ -139,16 +139,16 @@ def build_graph(spark, state: State, df: DataFrame, records: DataFrame, enricher
     near = sorted(r.id for r in kgraph.neighbourhood(edges, start).collect()) if listed else []
     state.results["graph"] = {"node_count": len(listed), "edge_count": len(joined), "nodes": listed, "edges": joined, "hubs": hubs, "highlight": near, "source": "hybrid" if more else source}
     sinks.write_json(f"{state.folder}/graph.json", state.results["graph"])
-    with open(f"{state.folder}/graph.html", "w", encoding="utf-8") as f:
-        f.write(sinks.graph_html(listed, joined, set(near), hubs))
+    sinks.write_text(f"{state.folder}/graph.html", sinks.graph_html(listed, joined, set(near), hubs))
 
 
 def write_report(state: State, enricher: Enricher) -> None:
     f = state.results.get("forecast") or {}
     figure = sinks.bars_svg(f["forecast"]) if f.get("status") == "snapshot" else sinks.line_svg(f.get("history", []), f.get("forecast", []))
+    if figure:
+        sinks.write_text(f"{state.folder}/forecast.svg", figure)
     content, source = enricher.ask("summarise", state.results, report.summary(state.results))
-    with open(f"{state.folder}/report.html", "w", encoding="utf-8") as out:
-        out.write(report.page(state.results, content, figure))
+    sinks.write_text(f"{state.folder}/report.html", report.page(state.results, content, figure))
     state.results["report"] = {**content, "source": source, "path": f"{state.folder}/report.html"}
     sinks.write_json(f"{state.folder}/report_meta.json", state.results["report"])
 
@@ -157,7 +157,6 @@ def run(spark: SparkSession, inputs: list[str], folder: str, run_id: str = "run"
     """All phases; the first that fails ends the run with RuntimeError, its state being in ``args``."""
     enricher = enricher or Enricher()
     state = State(run_id, os.path.join(folder, run_id), readers.expand(spark, inputs))
-    os.makedirs(state.folder, exist_ok=True)
     tables = readers.load_files(spark, state.paths)
     shared: dict = {}
 
@@ -187,14 +186,23 @@ def run(spark: SparkSession, inputs: list[str], folder: str, run_id: str = "run"
     return state
 
 
+def replay(folder: str) -> State:
+    """A finished run's state from its artifacts; nothing is computed."""
+    state = State(os.path.basename(folder.rstrip("/")), folder.rstrip("/"), [])
+    for name in sinks.ARTIFACTS:
+        state.results[{"cleaning_report": "cleaning", "report_meta": "report"}.get(name, name)] = sinks.read_artifact(state.folder, name)
+        state.log.append({"phase": name, "duration_sec": 0.0, "status": "replayed"})
+    return state
+
+
 def stale(folder: str) -> dict[str, bool]:
     """Which of the forecast and the graph of a run should be made anew."""
-    if not os.path.exists(f"{folder}/cleaned.parquet"):
+    if not sinks.exists(f"{folder}/cleaned.parquet"):
         return {"forecast": False, "graph": False}
 
     def old(name: str, bad) -> bool:
         path = f"{folder}/{name}.json"
-        return not os.path.exists(path) or bad(sinks.read_json(path))
+        return not sinks.exists(path) or bad(sinks.read_json(path))
 
     from tallyframe.functions.names import NOT_TIME
 

@@ -7,7 +7,6 @@ import decimal
 import html
 import json
 import math
-import os
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -34,17 +33,66 @@ def rows(df: DataFrame) -> list[dict]:
     return [safe(r) for r in df.collect()]
 
 
+def _file(path: str):
+    """The file system and path, of any store that Spark writes."""
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(path: str) -> bool:
+    fs, p = _file(path)
+    return fs.exists(p)
+
+
+def write_text(path: str, text: str) -> str:
+    """In place of what was there; folders are made."""
+    fs, p = _file(path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
+def read_text(path: str) -> str:
+    fs, p = _file(path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def write_json(path: str, content: dict) -> str:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
     stamped = {**content, "generated_at": dt.datetime.now(dt.timezone.utc).isoformat()}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(safe(stamped), f, ensure_ascii=False, indent=2)
-    return path
+    return write_text(path, json.dumps(safe(stamped), ensure_ascii=False, indent=2))
 
 
 def read_json(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(read_text(path))
+
+
+#: What each artifact of a run holds, by field.
+ARTIFACTS: dict[str, dict[str, type | tuple]] = {
+    "profile": {"file_count": int, "files": dict},
+    "cleaning_report": {"passed": bool, "missing_columns": list, "duplicate_rate": float, "rows_before": int, "rows_after": int, "message": str},
+    "patterns": {"row_count": int, "statistics": dict, "raw_patterns": list, "insights": list, "source": str},
+    "anomalies": {"row_count": int, "anomaly_count": int, "anomalies": list, "entity_index": dict, "source": str},
+    "forecast": {"status": str, "horizon_days": int, "history": list, "forecast": list, "narrative": str, "actions": list},
+    "graph": {"node_count": int, "edge_count": int, "nodes": list, "edges": list, "hubs": list, "source": str},
+    "report_meta": {"executive_summary": str, "top_actions": list, "source": str},
+}
+
+
+def read_artifact(folder: str, name: str) -> dict:
+    """An artifact of the run in ``folder`` without its time stamp; raises ValueError where a field is missing or of another type."""
+    found = {k: v for k, v in read_json(f"{folder}/{name}.json").items() if k != "generated_at"}
+    for field, kind in ARTIFACTS[name].items():
+        if not isinstance(found.get(field), (int, float) if kind is float else kind):
+            raise ValueError(f"{name}.json: {field} is {type(found.get(field)).__name__}, not {kind.__name__}")
+    return found
 
 
 def write_parquet(df: DataFrame, path: str, single_file: bool = False) -> str:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import pipeline
+from tallyframe.enrich import Enricher
 from tallyframe.functions.draws import drawn
 from tallyframe.operators import anomalies, cleaning, forecast, iforest, kgraph, patterns, profile
 from tallyframe.plans.cleaning_plan import CleaningPlan, DateParser, Fill, heuristic_plan
@@ -286,6 +287,46 @@ def test_pipeline_end_to_end(spark, outlier, tmp_path):
     assert pipeline.stale(state.folder) == {"forecast": False, "graph": False}
 
 
+def test_artifacts_replay_and_refresh(spark, outlier, tmp_path):
+    state = pipeline.run(spark, [outlier], str(tmp_path / "out"), "r1")
+    again = pipeline.replay(state.folder)
+    assert again.headline == state.headline and again.results["graph"]["node_count"] == state.results["graph"]["node_count"]
+    assert patterns.top_insights(again.results["patterns"], 1) == again.results["patterns"]["insights"][:1]
+    assert (tmp_path / "out" / "r1" / "forecast.svg").read_text().startswith("<svg")
+    sinks.write_json(f"{state.folder}/graph.json", {"node_count": 0})
+    with pytest.raises(ValueError, match="edge_count"):
+        sinks.read_artifact(state.folder, "graph")
+    (tmp_path / "out" / "r1" / "forecast.json").unlink()
+    assert pipeline.refresh(spark, state.folder) == {"forecast": True, "graph": True}
+    assert pipeline.stale(state.folder) == {"forecast": False, "graph": False}
+    assert sinks.read_artifact(state.folder, "graph")["node_count"] == state.results["graph"]["node_count"]
+    assert pipeline.stale(str(tmp_path / "nowhere")) == {"forecast": False, "graph": False}
+
+
+def test_hooks_take_over_and_failing_ones_do_not(spark, outlier, tmp_path):
+    seen = []
+
+    def noted(name, answer):
+        return lambda context: seen.append(name) or answer
+
+    node = {"id": "note:x", "label": "x", "node_type": "note", "first_seen": 0, "is_anomaly": False, "centrality": 0.0, "metadata": {}}
+    hooks = Enricher(
+        plan=lambda profile: heuristic_plan(profile), rank_insights=lambda cards: cards[:1], explain_anomalies=lambda found: [{**x, "hypothesis": "said so"} for x in found],
+        narrate=noted("narrate", ("told", [("do", "2024-01-01")])), extract_graph=noted("extract", ([node], [])), summarise=noted("summarise", {"executive_summary": "all", "top_actions": []}),
+    )
+    state = pipeline.run(spark, [outlier], str(tmp_path), "hooked", enricher=hooks)
+    r = state.results
+    assert r["cleaning"]["plan_source"] == "model" and len(r["patterns"]["insights"]) == 1 and r["anomalies"]["anomalies"][0]["hypothesis"] == "said so"
+    assert r["forecast"]["narrative"] == "told" and r["graph"]["source"] == "hybrid" and r["report"]["executive_summary"] == "all" and seen == ["narrate", "extract", "summarise"]
+    broken = Enricher(rank_insights=lambda cards: 1 / 0, summarise=lambda run: None)
+    assert broken.ask("rank_insights", [1], "own") == ("own", "heuristic") and broken.ask("summarise", {}, "own") == ("own", "heuristic")
+    texts = spark.createDataFrame([(i, "fine" if i else "odd one") for i in range(8)], "ticket_id long, reason string")
+    state = pipeline.State("t", str(tmp_path / "t"), [])
+    flags = Enricher(flag_texts=lambda rows: [{"row_index": r["row_index"], "entity": "0", "metric": "reason", "score": 0.9} for r in rows if r["reason"] == "odd one"])
+    records = pipeline.find_anomalies(spark, state, texts, flags).filter("source = 'text_model'").collect()
+    assert [(r.row_index, r.severity) for r in records] == [(0, "critical")]
+
+
 def test_pipeline_stops_at_the_first_failure(spark, messy, tmp_path):
     with pytest.raises(RuntimeError, match="clean"):
         pipeline.run(spark, [messy], str(tmp_path), "bad", plan=CleaningPlan(required=("nothing",)))
