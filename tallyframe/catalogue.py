@@ -9,17 +9,18 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe import pipeline
 from tallyframe.functions import scalars
-from tallyframe.functions.names import canonical
+from tallyframe.functions.names import canonical, key
 from tallyframe.operators import anomalies, cleaning, forecast, kgraph, patterns, profile
 from tallyframe.plans.cleaning_plan import CleaningPlan, Fill, heuristic_plan
 from tallyframe.session import shared_path
-from tallyframe.sources import readers
+from tallyframe.sources import readers, sinks
 from tallyframe.streaming import trends
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +81,7 @@ def join_key_candidates(spark, sf_dir):
 
 @query("select * from nation order by n_nationkey limit 20")
 def sample_head(spark, sf_dir):
-    return table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(20)
+    return profile.head(table(spark, sf_dir, "nation").withColumn("_row_id", F.col("n_nationkey")), 20).drop("_row_id")
 
 
 # --- projections and casts ----------------------------------------------------------------------
@@ -243,11 +244,11 @@ def union_diagonal(spark, sf_dir):
 
 
 @query("""
-with u as (select cast(c_custkey as varchar) as k, c_acctbal as v from customer where c_custkey % 2 = 0 union all select s_name, s_acctbal from supplier)
+with u as (select cast(c_custkey as varchar) as k, c_acctbal as v from customer union all select s_name, s_acctbal from supplier)
 select k, round(sum(v), 2) as v from u group by k
 """)
 def union_mixed_types(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").selectExpr("c_custkey as k", "c_acctbal as v")
+    a = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_acctbal as v")
     b = table(spark, sf_dir, "supplier").selectExpr("s_name as k", "s_acctbal as v")
     return cleaning.union_diagonal([a, b]).groupBy("k").agg(F.round(F.sum("v"), 2).alias("v"))
 
@@ -285,9 +286,16 @@ def correlations_all(spark, sf_dir):
     return patterns.correlation_matrix(table(spark, sf_dir, "lineitem"), _NUMBERS).select("column_a", "column_b", F.round("correlation", 4).alias("correlation"))
 
 
-@query(f"select column_a, column_b, round(r, 4) as correlation, round(abs(r), 4) as score, case when r > 0 then 'positive' else 'negative' end as direction from ({_CORR}) where abs(r) >= 0.3")
+_MIXED = "(select l_quantity, l_extendedprice, l_discount, l_quantity * 40 + l_discount * 10000 as mixed, 1000 - l_quantity as falling from lineitem)"
+_MIXED_CORR = " union all ".join(
+    f"select '{a}' as column_a, '{b}' as column_b, corr({a}, {b}) as r from {_MIXED}" for a, b in combinations(["l_quantity", "l_extendedprice", "l_discount", "mixed", "falling"], 2)
+)
+
+
+@query(f"select column_a, column_b, round(r, 4) as correlation, round(abs(r), 4) as score, case when r > 0 then 'positive' else 'negative' end as direction from ({_MIXED_CORR}) where abs(r) >= 0.3")
 def correlations(spark, sf_dir):
-    return patterns.correlations(table(spark, sf_dir, "lineitem").select(*_NUMBERS)).drop("seq")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_quantity", "l_extendedprice", "l_discount", "l_quantity * 40 + l_discount * 10000 as mixed", "1000 - l_quantity as falling")
+    return patterns.correlations(rows).drop("seq")
 
 
 def _sales(spark, sf_dir):
@@ -355,26 +363,48 @@ def categorical_combos(spark, sf_dir):
     return patterns.categorical_combos(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"]).drop("seq")
 
 
-@query("""
-select type, count from (values ('correlation', 0), ('segment_lift', 0), ('time_trend', 1), ('categorical_combo', 1)) v(type, count)
+_RISING = "(select o_orderstatus, o_orderpriority, o_orderdate, o_totalprice, o_totalprice * 2 + o_orderkey as doubled, case when o_orderstatus = 'F' then 3.0 else 1.0 end as part from orders)"
+_RISING_LIFTS = " union all ".join(
+    f"select '{c}' as c, '{m}' as m, max(abs(v / overall - 1)) as far from (select avg({m}) as v, (select avg({m}) from {_RISING}) as overall from {_RISING} group by {c})"
+    for c in ("o_orderstatus", "o_orderpriority")
+    for m in ("o_totalprice", "doubled", "part")
+)
+_RISING_CORR = " union all ".join(f"select corr({a}, {b}) as r from {_RISING}" for a, b in combinations(["o_totalprice", "doubled", "part"], 2))
+
+
+@query(f"""
+select 'correlation' as type, count(*)::int as count from ({_RISING_CORR}) where abs(r) >= 0.3
+union all select 'segment_lift', count(*)::int from ({_RISING_LIFTS}) where far >= 0.05
+union all select 'time_trend', (count(distinct date_trunc('week', o_orderdate)) >= 2)::int from orders
+union all select 'categorical_combo', 1 where (select count(*) from orders) > 0
 """)
 def pattern_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderdate", F.lit(1.0).alias("one"))
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice", "o_totalprice * 2 + o_orderkey as doubled", "case when o_orderstatus = 'F' then 3.0D else 1.0D end as part"
+    )
     return patterns.pattern_counts(patterns.discover(rows)).withColumn("count", F.col("count").cast("int"))
 
 
-@query("""
+@query(f"""
 with t as (select date_trunc('week', o_orderdate) as week, sum(o_totalprice) as v from orders group by 1),
 e as (select arg_min(v, week) as a, arg_max(v, week) as b from t),
-c as (select o_orderstatus as a, o_orderpriority as b, count(*) as n, (select count(*) from orders) as total from orders group by 1, 2 order by 3 desc, 1, 2 limit 1)
-select 'Trend ' || case when (b - a) / a * 100 > 5 then 'up' when (b - a) / a * 100 < -5 then 'down' else 'flat' end || ' on o_totalprice' as title,
-  case when round(least(abs((b - a) / a), 3.0), 4) >= 1 then 'high' when round(least(abs((b - a) / a), 3.0), 4) < 0.15 then 'low' else 'medium' end as impact, round(least(abs((b - a) / a), 3.0), 4) as score from e
-union all select 'Dominant pair: o_orderstatus × o_orderpriority', case when round(n / total::double, 4) < 0.15 then 'low' else 'medium' end, round(n / total::double, 4) from c
+c as (select o_orderstatus as a, o_orderpriority as b, count(*) as n, (select count(*) from orders) as total from orders group by 1, 2 order by 3 desc, 1, 2 limit 1),
+g as (select c, m, arg_max(k, abs(v / o - 1)) as k, arg_max(v / o - 1, abs(v / o - 1)) as lift from (
+  select 'o_orderstatus' as c, 'o_totalprice' as m, o_orderstatus as k, avg(o_totalprice) as v, (select avg(o_totalprice) from orders) as o from orders group by 3
+  union all select 'o_orderpriority', 'o_totalprice', o_orderpriority, avg(o_totalprice), (select avg(o_totalprice) from orders) from orders group by 3
+  union all select 'o_orderstatus', 'part', o_orderstatus, avg(part), (select avg(part) from {_RISING}) from {_RISING} group by 3
+  union all select 'o_orderpriority', 'part', o_orderpriority, avg(part), (select avg(part) from {_RISING}) from {_RISING} group by 3) group by 1, 2),
+all_of as (
+  select 'o_totalprice over time: ' || case when (b - a) / a * 100 > 5 then 'up' when (b - a) / a * 100 < -5 then 'down' else 'flat' end as title, round(least(abs((b - a) / a), 3.0), 4) as score, null as lift from e
+  union all select 'Usual pair of o_orderstatus and o_orderpriority', round(n / total::double, 4), null from c
+  union all select m || ' differs for ' || c || ' ' || k, round(least(abs(lift), 5.0), 4), round(lift * 100, 2) from g where abs(lift) >= 0.05
+  union all select 'o_totalprice goes with part', round(abs(r), 4), null from (select corr(o_totalprice, part) as r from {_RISING}) where abs(r) >= 0.3)
+select title, case when score >= 1 or abs(coalesce(lift, 0)) >= 30 then 'high' when score < 0.15 then 'low' else 'medium' end as impact, score from all_of order by score desc limit 5
 """)
 def insight_ranking(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
-    found = patterns.discover(rows).filter("type in ('time_trend', 'categorical_combo')")
-    return patterns.insight_cards(found).select("title", "impact", "score")
+    """All four kinds of patterns compete."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice", "case when o_orderstatus = 'F' then 3.0D else 1.0D end as part")
+    return patterns.insight_cards(patterns.discover(rows)).select("title", "impact", "score")
 
 
 # --- anomalies ----------------------------------------------------------------------------------
@@ -446,6 +476,63 @@ def entity_index(spark, sf_dir):
     return anomalies.entity_index(records).select("graph_entity_id", F.array_join("positions", ",").alias("positions"))
 
 
+_ODD = """
+c as (select case when p_size % 2 = 0 then 'text_heuristic' else 'isolation_forest' end as source, p_partkey as row_index, p_name as entity, 'Part_ID' as entity_column, p_type as metric, p_retailprice / 2200 as score, p_partkey as seq from part),
+x as (select row_index, case when source = 'text_heuristic' then 'The ' || metric || ' of ' || entity || ' is far longer or shorter than the others.' else 'Taken together, the numbers of ' || entity || ' are unlike other rows, ' || metric || ' most of all.' end as hypothesis,
+  case when source = 'text_heuristic' then 'Read the ' || metric || ' of ' || entity || '.' else 'Check ' || metric || ' of ' || entity || ' at its source, and what happened around it.' end as recommended_action,
+  'part:' || substr(regexp_replace(trim(entity), '[^\\w.-]+', '_', 'g'), 1, 64) as graph_entity_id from c)"""
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    rows = part.selectExpr(
+        "case when p_size % 2 = 0 then 'text_heuristic' else 'isolation_forest' end as source", "p_partkey as row_index", "p_name as entity", "'Part_ID' as entity_column", "p_type as metric",
+        "p_retailprice / 2200 as score", "p_partkey as seq",
+    )
+    return anomalies.explain(rows)
+
+
+@query(f"with {_ODD} select * from x")
+def anomaly_explanations(spark, sf_dir):
+    return _records(spark, sf_dir).select("row_index", "hypothesis", "recommended_action", "graph_entity_id")
+
+
+@query(f"with {_ODD} select row_index, graph_entity_id from x where graph_entity_id = (select min(graph_entity_id) from x)")
+def anomalies_of_entity(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    return anomalies.of_entity(records, records.agg(F.min("graph_entity_id")).first()[0]).select("row_index", "graph_entity_id")
+
+
+@query("select p_partkey, case when p_partkey % 4 = 0 then 'Row ' || (row_number() over (order by p_partkey)) else p_name end as entity from part")
+def entity_labels(spark, sf_dir):
+    rows = anomalies.indexed(table(spark, sf_dir, "part").selectExpr("p_partkey", "case when p_partkey % 8 = 0 then null when p_partkey % 4 = 0 then '  ' else concat(' ', p_name) end as name"))
+    return rows.select("p_partkey", anomalies.entity_label("name").alias("entity"))
+
+
+@query("""
+with h as (select o_orderkey, case when o_orderkey % 5 = 0 then null else o_totalprice end as price from orders), m as (select o_orderkey, coalesce(price, (select median(price) from h)) as price from h)
+select o_orderkey, round((price - avg(price) over ()) / stddev_pop(price) over (), 4) as z from m
+""")
+def feature_impute(spark, sf_dir):
+    rows, names = anomalies.scaled_features(_holes(spark, sf_dir).select("o_orderkey", "price"), ["price"])
+    return rows.select("o_orderkey", F.round(names[0], 4).alias("z"))
+
+
+_TWO_TEXTS = """
+with r as (select row_number() over (order by p_partkey) - 1 as row_index, p_partkey, p_name as description, p_type as note from part),
+z as (select row_index, p_partkey, 'description' as metric, abs((length(description) - avg(length(description)) over ()) / stddev_samp(length(description)) over ()) as z from r
+  union all select row_index, p_partkey, 'note', abs((length(note) - avg(length(note)) over ()) / stddev_samp(length(note)) over ()) from r),
+k as (select *, round(least(z / 4, 1.0), 4) as score, row_number() over (partition by metric order by round(least(z / 4, 1.0), 4) desc, row_index) as n from z where z >= 1.5)
+select 'text_heuristic' as source, row_index, p_partkey::varchar as entity, metric, score from k where n <= 5
+"""
+
+
+@query(_TWO_TEXTS)
+def text_anomalies_by_column(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as part_id", "p_name as description", "p_type as note")
+    return anomalies.text_anomalies(rows, "part_id").select("source", "row_index", "entity", "metric", "score")
+
+
 # --- forecasts ----------------------------------------------------------------------------------
 
 
@@ -479,6 +566,35 @@ def linear_forecast_30d(spark, sf_dir):
     return out.select("date", *[F.round(c, 2).alias(c) for c in ("value", "lower", "upper")])
 
 
+@query(_DAILY + _FIT + """,
+s as (select dayofweek(ds) as dow, avg(y - intercept - slope * t) as effect from n, f group by 1),
+x as (select stddev_pop(y - intercept - slope * t - effect) as sigma from n, f, s where dayofweek(ds) = dow),
+h as (select (last_day + cast(unnest(range(1, 31)) as integer))::date as date, unnest(range(1, 31)) as h from f),
+v as (select date, intercept + slope * (f.n + h - 1) + coalesce(effect, 0) as y, x.sigma from f, x, h left join s on dayofweek(date) = dow)
+select date, round(round(y, 4), 2) as value, round(round(y - 1.2816 * sigma, 4), 2) as lower, round(round(y + 1.2816 * sigma, 4), 2) as upper from v
+""")
+def weekly_forecast_30d(spark, sf_dir):
+    out, model = forecast.train(forecast.daily_series(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"))
+    assert model == "weekly"
+    return out.select("date", *[F.round(c, 2).alias(c) for c in ("value", "lower", "upper")])
+
+
+@query("""
+select 'orders' as name, case when count(distinct o_orderdate::date) >= 5 then 'success' when count(*) > 0 then 'skipped' end as status from orders
+union all select 'first days', 'skipped' from (select min(o_orderdate::date) as d from orders) where (select count(distinct o_orderdate::date) from orders where o_orderdate::date < d + 4) < 5
+union all select 'customer', case when count(distinct c_mktsegment) between 2 and 15 then 'snapshot' else 'skipped' end from customer
+union all select 'names', 'skipped' from (select count(*) from nation)
+""")
+def forecast_status(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
+    first = orders.agg(F.to_date(F.min("o_orderdate"))).first()[0]
+    tables = {
+        "orders": orders, "first days": orders.filter(F.to_date("o_orderdate") < F.date_add(F.lit(first), 4)),
+        "customer": table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal"), "names": table(spark, sf_dir, "nation").select("n_name"),
+    }
+    return spark.createDataFrame([(name, forecast.run(df).status) for name, df in tables.items()], "name string, status string")
+
+
 @query('select c_mktsegment as "group", round(avg(c_acctbal), 2) as mean from customer group by 1')
 def snapshot_means(spark, sf_dir):
     return forecast.group_means(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
@@ -504,11 +620,11 @@ def graph_edges(spark, sf_dir):
     return _orders_graph(spark, sf_dir)[1]
 
 
-_NETWORK = "with p as (select distinct 'b:' || p_brand as a, 't:' || p_type as b from part where p_size <= 3), "
+_NETWORK = "with p as (select distinct 'b:' || p_brand as a, 't:' || p_name as b from part), "
 
 
 def _network(spark, sf_dir):
-    pairs = table(spark, sf_dir, "part").filter("p_size <= 3").select(F.concat(F.lit("b:"), "p_brand").alias("source"), F.concat(F.lit("t:"), "p_type").alias("target")).distinct()
+    pairs = table(spark, sf_dir, "part").select(F.concat(F.lit("b:"), "p_brand").alias("source"), F.concat(F.lit("t:"), "p_name").alias("target")).distinct()
     edges = pairs.select("source", "target", F.lit("b_t").alias("relation"), F.lit(1.0).alias("weight"))
     ids = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     nodes = ids.select(
@@ -557,14 +673,55 @@ def anomaly_flags(spark, sf_dir):
     return _flagged(spark, sf_dir)[0].select("id", "is_anomaly")
 
 
-@query(_NETWORK + _BAD + """
+_KEPT = _NETWORK + _BAD + """
 n as (select a as id from p union all select b from p), c as (select id, round(count(*) / ((select count(distinct id) from n) - 1)::double, 4) as centrality from n group by id),
 k as (select c.id, c.centrality, f.id is not null as bad from c left join f on c.id = f.id),
-r as (select *, row_number() over (order by bad desc, centrality desc, id) as n from k)
-select id, bad as is_anomaly from r where bad or n <= 12
-""")
+r as (select *, row_number() over (partition by bad order by centrality desc, id) as n from k),
+kept as (select id, bad from r where bad or n <= greatest(0, 40 - (select count(*) from k where bad)))
+"""
+
+
+@query(_KEPT + "select id, bad as is_anomaly from kept")
 def graph_prune(spark, sf_dir):
-    return kgraph.prune(*_flagged(spark, sf_dir), most=12)[0].select("id", "is_anomaly")
+    return kgraph.prune(*_flagged(spark, sf_dir), most=40)[0].select("id", "is_anomaly")
+
+
+@query(_KEPT + "select a as source, b as target from p where a in (select id from kept) and b in (select id from kept)")
+def graph_prune_edges(spark, sf_dir):
+    return kgraph.prune(*_flagged(spark, sf_dir), most=40)[1].select("source", "target")
+
+
+@query(_MEET + """, n as (select distinct a as id from e union select distinct b from e),
+r as (select 'o_orderstatus:' || o_orderstatus as id, case when o_orderstatus = 'F' then 'Finished' else '' end as label, true as bad from orders group by 1, 2 union all select 'new:x', 'x', false)
+select coalesce(n.id, r.id) as id, coalesce(nullif(r.label, ''), split_part(n.id, ':', 2)) as label, coalesce(r.bad, false) as is_anomaly, case when r.id is null then '' else 'yes' end as merged from n full join r on n.id = r.id
+""")
+def graph_merge_nodes(spark, sf_dir):
+    nodes, _ = _orders_graph(spark, sf_dir)
+    changed = nodes.filter("node_type = 'o_orderstatus'").withColumn("label", F.when(F.col("label") == "F", "Finished").otherwise("")).withColumn("is_anomaly", F.lit(True))
+    right = changed.unionByName(spark.createDataFrame([("new:x", "x", "new", 0, False, 0.0, {})], kgraph.NODE)).withColumn("metadata", F.create_map(F.lit("merged"), F.lit("yes")))
+    return kgraph.merge_nodes(nodes, right).select("id", "label", "is_anomaly", F.coalesce(F.try_element_at("metadata", F.lit("merged")), F.lit("")).alias("merged"))
+
+
+@query("""
+with e as (select case when o_orderkey % 3 = 0 then null else 'o_orderstatus:' || o_orderstatus end as a, case when o_orderkey % 4 = 0 then null else 'o_orderpriority:' || regexp_replace(trim(o_orderpriority), '[^\\w.-]+', '_', 'g') end as b from orders)
+select id, count(*)::bigint as neighbours, sum(n)::double as weight from (select a as id, b as other, count(*) as n from e where a is not null and b is not null group by 1, 2 union all select b, a, count(*) from e where a is not null and b is not null group by 1, 2) group by id
+""")
+def graph_without_blanks(spark, sf_dir):
+    """Blank and null values make no nodes."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey as _row_id", "case when o_orderkey % 3 = 0 then '  ' else o_orderstatus end as o_orderstatus", "case when o_orderkey % 4 = 0 then null else o_orderpriority end as o_orderpriority")
+    nodes, edges = kgraph.extract(rows, ["o_orderstatus", "o_orderpriority"])
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id"), "weight").groupBy("id").agg(F.count("*").alias("neighbours"), F.sum("weight").alias("weight"))
+    return nodes.select("id").join(ends, "id")
+
+
+@query(_MEET + """, p as (select distinct a, b from e), n as (select a as id from p union all select b from p),
+w as (select a as source, b as target, count(*) as weight from e group by 1, 2)
+select n.id, round(count(*) / ((select count(distinct id) from n) - 1)::double, 4) as centrality, n.id = 'o_orderstatus:F' as is_anomaly, (select sum(weight) from w)::double as all_weight from n group by n.id
+""")
+def graph_build(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    nodes, edges = kgraph.build(rows, spark.createDataFrame([("o_orderstatus:F",), (None,)], "graph_entity_id string"), rows=None)
+    return nodes.crossJoin(F.broadcast(edges.agg(F.sum("weight").alias("all_weight")))).select("id", "centrality", "is_anomaly", "all_weight")
 
 
 @query(_MEET + "select least(a, b) as source, greatest(a, b) as target, 'o_orderpriority_o_orderstatus' as relation, 2.0 * count(*)::double as weight from e group by 1, 2")
@@ -573,15 +730,54 @@ def graph_merge(spark, sf_dir):
     return kgraph.merge_edges(edges, edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation", "weight"))
 
 
+@query("select p_partkey as part_key, p_name as part_name, p_size as size_of_part from part")
+def key_names(spark, sf_dir):
+    messy = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(" Part-Key"), F.col("p_name").alias("PART - name"), F.col("p_size").alias("Size of-Part "))
+    return cleaning.rename(messy, {c: key(c) for c in messy.columns})
+
+
+@query("select date_trunc('week', o_orderdate)::date as week, round(sum(o_totalprice), 2) as value, count(*)::bigint as rows from orders where o_orderkey % 6 <> 0 group by 1")
+def weekly_of_text_dates(spark, sf_dir):
+    """Dates as text of two formats; one row in six can't be read."""
+    text = "case when o_orderkey % 6 = 0 then 'soon' when o_orderkey % 2 = 0 then date_format(o_orderdate, 'yyyy-MM-dd') else date_format(o_orderdate, 'dd/MM/yyyy') end as day"
+    rows = table(spark, sf_dir, "orders").selectExpr(text, "o_totalprice").filter("day is not null")
+    return patterns.weekly(rows, "day", "o_totalprice").withColumn("value", F.round("value", 2))
+
+
+@query("""
+select o.o_orderkey as order_key, o.o_custkey as cust_key, 'orders.csv' as _source_file, c.c_name as name, case when c.c_custkey is null then null else 'customer.csv' end as "_source_file_customer.csv"
+from orders o left join customer c on o.o_custkey = c.c_custkey
+""")
+def combine_by_shared_keys(spark, sf_dir):
+    """The primary table is not the first, and one of the plan's keys is in one table only."""
+    customer = table(spark, sf_dir, "customer").selectExpr("c_custkey as cust_key", "c_name as name")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as order_key", "o_custkey as cust_key")
+    return cleaning.combine({"customer.csv": customer, "orders.csv": orders}, CleaningPlan(join_keys=("cust_key", "order_key"), primary="orders.csv"))
+
+
+_NAMED = {"(select c_custkey as cust_key, c_nationkey as nation_key, c_acctbal as balance from customer)": ["cust_key", "nation_key", "balance"], "(select o_orderkey as order_key, o_custkey as cust_key, o_totalprice as balance from orders)": ["order_key", "cust_key", "balance"]}
+
+
+@query(" intersect ".join(f"select column_name as join_key from ({_KEYS_SQL.format(profile=_profile_sql(t + ' t', c))})" for t, c in _NAMED.items()))
+def plan_join_keys(spark, sf_dir):
+    """Candidate keys that all files have."""
+    tables = {
+        "customer.csv": table(spark, sf_dir, "customer").selectExpr("c_custkey as cust_key", "c_nationkey as nation_key", "c_acctbal as balance"),
+        "orders.csv": table(spark, sf_dir, "orders").selectExpr("o_orderkey as order_key", "o_custkey as cust_key", "o_totalprice as balance"),
+    }
+    plan = heuristic_plan(pipeline.build_profile(tables, list(tables)))
+    return spark.createDataFrame([(k,) for k in plan.join_keys], "join_key string")
+
+
 # --- sources, plans and streams -----------------------------------------------------------------
 
 
-def _file(spark: SparkSession, name: str, text: str) -> str:
+def _file(spark: SparkSession, name: str, text: str | bytes) -> str:
     """A small text file in the shared folder."""
     path = f"{shared_path(spark, 'sources')}/{name}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(text.encode() if isinstance(text, str) else text))
     out.close()
     return path
 
@@ -614,6 +810,53 @@ def ndjson_scan(spark, sf_dir):
     return readers.load_file(spark, _file(spark, "nation.ndjson", "\n".join(map(json.dumps, _nations(spark, sf_dir))))).drop("_row_id")
 
 
+@query("select n_nationkey::bigint as n_nationkey, n_name || ' é' as n_name, e as encoding from nation, (values ('latin-1'), ('utf-8'), ('utf-8-sig')) v(e)")
+def encodings_scan(spark, sf_dir):
+    text = "\n".join(["n_nationkey,n_name", *(f"{r['n_nationkey']},{r['n_name']} é" for r in _nations(spark, sf_dir))]) + "\n"
+    out = None
+    for encoding in ("latin-1", "utf-8", "utf-8-sig"):
+        rows = readers.load_file(spark, _file(spark, "nation.csv", text.encode(encoding))).drop("_row_id").withColumn("encoding", F.lit(encoding))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("select n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def load_files_as_views(spark, sf_dir):
+    """Two files found by a pattern, loaded by name and joined as views."""
+    folder = shared_path(spark, "files")
+    for name, text in (
+        ("nation_file.csv", "\n".join(["n_name;n_regionkey", *(f"{r['n_name']};{r['n_regionkey']}" for r in _nations(spark, sf_dir))])),
+        ("region_file.json", json.dumps([r.asDict() for r in table(spark, sf_dir, "region").collect()])),  # 5 rows
+    ):
+        sinks.write_text(f"{folder}/{name}", text)
+    paths = readers.expand(spark, [f"{folder}/*_file.*", f"{folder}/region*"])
+    assert [p.rsplit("/", 1)[-1] for p in paths] == ["nation_file.csv", "region_file.json"]
+    loaded = readers.load_files(spark, paths)
+    assert set(loaded) == {"nation_file.csv", "region_file.json"}
+    return spark.sql("select n_name, r_name from nation_file join region_file on n_regionkey = r_regionkey")
+
+
+@query("""
+with o as (select count(*) as n, count(distinct o_orderdate::date) as days, sum(o_totalprice) as total, avg(o_totalprice) as mean, count(distinct o_orderstatus) + count(distinct o_orderpriority) as nodes from orders)
+select 'profile' as artifact, 'rows' as measure, n::double as value from o union all select 'cleaning', 'rows_after', n from o union all select 'cleaned', 'total', round(total, 2) from o
+union all select 'patterns', 'rows', n from o union all select 'patterns', 'mean_price', round(mean, 4) from o union all select 'anomalies', 'rows', n from o
+union all select 'anomalies', 'listed', 10 from o union all select 'forecast', 'days', days from o union all select 'graph', 'nodes', nodes from o union all select 'raw', 'files', 1 from o
+""")
+def pipeline_artifacts(spark, sf_dir):
+    """All phases on the orders; what the files of the run say."""
+    folder = pipeline.run(spark, [f"{sf_dir}/orders.parquet"], shared_path(spark, "runs"), "orders").folder
+    read = {name: sinks.read_artifact(folder, name) for name in sinks.ARTIFACTS}
+    total = spark.read.parquet(f"{folder}/cleaned.parquet").agg(F.round(F.sum("o_totalprice"), 2)).first()[0]
+    price = next(r["avg"] for r in read["patterns"]["statistics"]["numeric_summary"] if r["column"] == "o_totalprice")
+    rows = [
+        ("profile", "rows", read["profile"]["files"]["orders.parquet"]["row_count"]), ("cleaning", "rows_after", read["cleaning_report"]["rows_after"]), ("cleaned", "total", total),
+        ("patterns", "rows", read["patterns"]["row_count"]), ("patterns", "mean_price", price), ("anomalies", "rows", read["anomalies"]["row_count"]),
+        ("anomalies", "listed", len(read["anomalies"]["anomalies"])), ("forecast", "days", len(read["forecast"]["history"])), ("graph", "nodes", read["graph"]["node_count"]),
+        ("raw", "files", len(readers.expand(spark, [f"{folder}/raw/*"]))),
+    ]
+    return spark.createDataFrame([(a, m, float(v)) for a, m, v in rows], "artifact string, measure string, value double")
+
+
 @query("select n_name, row_number() over (order by n_nationkey) - 1 as place from nation")
 def parquet_scan(spark, sf_dir):
     rows = readers.load_file(spark, f"{sf_dir}/nation.parquet")
