@@ -195,7 +195,7 @@ OP2_SQL = r"""
 with counted as (
   select source, lang, 'words' as tokenizer, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) as tokens from documents
   union all
-  select source, lang, 'pieces-v1', len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^ \t\n\r\p{L}\p{N}]')) from kept)
+  select source, lang, 'pieces-v1', len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^ \t\n\r\p{L}\p{N}]')) from documents)
 select source, lang, tokenizer, count(*)::bigint as documents, sum(tokens)::bigint as tokens
 from counted group by source, lang, tokenizer
 """
