@@ -8,6 +8,8 @@ hold for what the stage before kept; ``labels`` comes from ``sf_dir``.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,10 @@ from tallyframe.llm.arrowtools import table
 from tallyframe.session import remove, shared_path
 
 #: A document costs over so many bits a byte by the best language's sample if it is in none of them:
-#: text of a learned language costs 2 to 4, an even mixture of two under 6, another language 7 or more.
+#: text of a learned language costs 2 to 4, a key among ten words makes it under 6, another language costs 7 or more.
+#: The bits of one phrase are allowed on top, so that a text of few bytes isn't judged by where its phrases happen to end.
 FOREIGN_BITS = 6.5
-#: Shorter texts aren't judged by it: a mail address or a key among ten words costs as much.
-LEAST_CHARS = 200
+PHRASE_BITS = log2(langid.SAMPLE_BYTES)
 
 
 def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list]:
@@ -40,7 +42,7 @@ def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that have letters and resemble one of the labelled languages."""
     rows, back = _aside(docs, ("lang_pred", "score", "bits"))
     found = langid.identify(rows, langid.fit(docs))
-    foreign = (F.col("bits") > FOREIGN_BITS) & (F.char_length("text") >= LEAST_CHARS)
+    foreign = F.col("bits") > FOREIGN_BITS + PHRASE_BITS / F.octet_length("text")
     return found.filter((F.col("lang_pred") != langid.NOTHING) & ~foreign).select(*back)
 
 
@@ -55,7 +57,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class; documents without an id stay."""
+    """The document of smallest id of each class; documents without an id stay, rows that share an id stay or go together."""
     gone = neardup.near_duplicates(docs).filter("class_id <> id").select(F.col("id").alias("doc_id"))
     rows, back = _aside(docs, ())
     return rows.join(gone, "doc_id", "left_anti").select(*back)
