@@ -23,11 +23,12 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm.arrowtools import extended, small_batches, table, without
+from tallyframe.llm.arrowtools import extended, small_batches, steps, table, without
 from tallyframe.llm.splitting import splitter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +36,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 REMEMBERED = 600_000
 #: Pairs of tokens whose stability a worker remembers.
 PAIRS = 1_000_000
+#: Bytes of text that a step takes; a longer single text is a step of its own.
+STEP_BYTES = 1 << 20
 
 
 class Vocabulary:
@@ -190,54 +193,45 @@ def encoder(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Enco
     return Encoder(path, pattern)
 
 
-def encode_column(df: DataFrame, text: str = "text", path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Adds ``ids`` (array<int>)."""
-    small_batches(df.sparkSession)
-    kept = without(df, ["ids"])
+def _encoded(batches: Iterator[pa.RecordBatch], text: str, path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    encode = encoder(path, pattern).encode
+    for b in steps(batches, text, STEP_BYTES):
+        ids = [encode(x) if x else array("I") for x in b.column(text).to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+        flat = array("I", b"".join(x.tobytes() for x in ids))
+        values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, values)], names=[*b.schema.names, "ids"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode
-        for b in batches:
-            ids = [encode(x) if x else array("I") for x in b.column(text).to_pylist()]
-            ends = pa.array([0, *_running(ids)], pa.int32())
-            flat = array("I")
-            for x in ids:
-                flat.extend(x)
-            values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, values)], names=[*b.schema.names, "ids"])
 
-    return kept.mapInArrow(work, extended(kept, "ids array<int>"))
+def _decoded(batches: Iterator[pa.RecordBatch], ids: str, path: str) -> Iterator[pa.RecordBatch]:
+    decode = encoder(path).decode
+    for b in batches:
+        c = b.column(ids)
+        whole, ends, null = c.values.to_numpy(), c.offsets.to_pylist(), c.is_null().to_pylist()
+        out = [None if gone else decode(whole[i:j].tolist()) for i, j, gone in zip(ends, ends[1:], null, strict=False)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
 
-def _running(ids: list[array]) -> list[int]:
-    out, n = [], 0
-    for x in ids:
-        n += len(x)
-        out.append(n)
-    return out
+def encode_column(df: DataFrame, text: str = "text", path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Adds ``ids`` (array<int>)."""
+    small_batches(df.sparkSession)
+    kept = without(df, ["ids"])
+    return kept.mapInArrow(lambda batches: _encoded(batches, text, path, pattern), extended(kept, "ids array<int>"))
 
 
 def decode_column(df: DataFrame, ids: str = "ids", path: str = RANKS) -> DataFrame:
     """Adds ``decoded`` (binary); null ids give null."""
     small_batches(df.sparkSession)
     kept = without(df, ["decoded"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(path).decode
-        for b in batches:
-            c = b.column(ids)
-            whole, ends, null = c.values.to_numpy().tolist(), c.offsets.to_pylist(), c.is_null().to_pylist()
-            out = [None if gone else decode(whole[i:j]) for i, j, gone in zip(ends, ends[1:], null, strict=False)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
-
-    return kept.mapInArrow(work, extended(kept, "decoded binary"))
+    return kept.mapInArrow(lambda batches: _decoded(batches, ids, path), extended(kept, "decoded binary"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode_column(encode_column(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    """``encode_column``, then ``decode_column``, then digests of both, step by step in one worker."""
+    small_batches(spark)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _decoded(_encoded(batches, "text", RANKS, public_tokenizers.PATTERN), "ids", RANKS):
             c = b.column("ids")
             values, ends = c.values.to_numpy().astype("<u4"), c.offsets.to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -250,4 +244,5 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return both.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
