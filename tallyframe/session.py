@@ -77,13 +77,13 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 
 def fewer(df: DataFrame, mb: float | None = None) -> DataFrame:
-    """``df`` in no more partitions than four a core or one for each PART_MB; it has ``mb`` or what the plan's statistics say.
+    """``df`` in no more partitions than eight a core or one for each PART_MB; it has ``mb`` or what the plan's statistics say.
 
     A table that is small for its partitions makes as many small files when it is cut.
     """
     if mb is None:
         mb = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
-    most = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-int(mb) // PART_MB))
+    most = max(8 * df.sparkSession.sparkContext.defaultParallelism, -(-int(mb) // PART_MB))
     return df.coalesce(most) if most < 1 << 20 else df
 
 
