@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import extended, id_remainder, small_batches, steps, table, without
-from tallyframe.session import cut
+from tallyframe.session import cut, fewer
 
 FIT_DOCS = 3000
 MIN_DOCS = 3
@@ -189,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     drawn = [flags.filter(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(FIT_DOCS) for k in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * FIT_DOCS rows at most
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").join(chosen, "id")
-    sample = cut(rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), F.col("text"))).alias("t")).select("id", "y", "t.text"))
+    sample = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), F.col("text"))).alias("t")).select("id", "y", "t.text")
+    sample = cut(fewer(sample, 0))  # of so few documents one partition a core or so does
     got = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = got.get(0, 0), got.get(1, 0)
 
