@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import extended, small_batches, steps, table, without
-from tallyframe.session import cut
+from tallyframe.session import PART_MB, cut, fewer
 
 MIN_POINTS = 10
 KEYS_IN_SHARD = 200_000
@@ -133,18 +133,19 @@ def document_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "h1", "h2"])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    rows = fewer(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).filter("doc_id is not null and text is not null")
     return rows.mapInArrow(work, "doc_id long, h1 long, h2 long")
 
 
 def line_drops(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keys_in_shard: int = KEYS_IN_SHARD, probes_in_task: int = PROBES_IN_TASK) -> DataFrame:
     """(doc_id, drops: the hashes of the keys that the document loses)."""
     keys = cut(document_keys(df, doc_id, text))
-    counted = cut(
+    counted = (
         keys.groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
         .select("h1", "h2", "owner", "n", F.when(F.col("last") > F.col("owner"), F.greatest("n", F.lit(2))).otherwise(1).alias("documents"))
     )
+    counted = cut(fewer(counted, keys.count() * 40 / 1e6))
     shards = max(1, -(-counted.count() // keys_in_shard))
     shard = F.pmod("h1", F.lit(shards)).cast("int")
     load = counted.groupBy(shard.alias("shard")).agg(F.ceil(F.sum("n") / probes_in_task).cast("int").alias("copies"))
@@ -154,7 +155,7 @@ def line_drops(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keys_i
         made = Shard(cols["h1"].view(np.uint64), cols["h2"].view(np.uint64), cols["owner"], cols["documents"])
         return pa.table({"shard": group.column("shard")[:1], "arrays": pa.array([pickle.dumps(made, 5)], pa.binary())})
 
-    index = cut(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, arrays binary"))
+    index = cut(fewer(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, arrays binary"), shards * PART_MB))
     copies = F.broadcast(load)  # a row of 8 bytes a shard, hence a byte for every KEYS_IN_SHARD / 8 lines
     spread = index.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "arrays")
     probes = (
