@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.arrowtools import small_batches, steps, table
 from tallyframe.llm.spans import GOLD, mix, span_hashes
-from tallyframe.session import cut, tidy
+from tallyframe.session import cut, fewer, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -211,7 +211,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[int, np.ndarray]:
     schema = "cell int, counts binary"
     sketch, n = np.zeros((cells, SKETCH_CELLS), np.int64), 0
     with tidy(df.sparkSession):
-        summed = df.select(text).mapInArrow(count, schema).repartition("cell").mapInArrow(add, schema).collect()
+        summed = fewer(df.select(text)).mapInArrow(count, schema).repartition("cell").mapInArrow(add, schema).collect()
     for r in summed:  # SKETCH_ROWS x SKETCH counters in all
         if r.cell == cells:
             n = int(_unpacked(r.counts)[0])
@@ -264,7 +264,8 @@ def signatures(df: DataFrame, weights, doc_id: str, text: str) -> DataFrame:
             packed = low.view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(map(len, raw), pa.int64()), pa.array(t[:, 0]), pa.array(t[:, 1]), *bands, *(pa.array(packed[:, i]) for i in range(len(_BYTES)))], names=names)
 
-    return df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null").mapInArrow(work, ", ".join(f"{n} long" for n in names))
+    rows = fewer(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))).filter("id is not null")
+    return rows.mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, weights, threshold: float = THRESHOLD) -> DataFrame:
@@ -314,7 +315,8 @@ def components(edges: DataFrame) -> DataFrame:
     def ordered(a, b):
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    edges = cut(edges.filter("a <> b").select(*ordered("a", "b")).distinct())
+    edges = edges.filter("a <> b").select(*ordered("a", "b"))
+    edges = cut(fewer(edges.distinct(), edges.count() * 16 / 1e6))
     known = mark(edges)
     while known[0]:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -322,7 +324,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         small_least = large.groupBy("b").agg(F.min("a").alias("m"))
         hung = large.join(small_least, "b").select(*ordered("a", "m")).filter("a <> b")
-        edges = cut(hung.unionByName(small_least.select(*ordered("m", "b"))).distinct())
+        edges = cut(fewer(hung.unionByName(small_least.select(*ordered("m", "b"))).distinct(), known[0] * 16 / 1e6))
         before, known = known, mark(edges)
         if before == known:
             break
@@ -455,20 +457,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     weights = sc.broadcast(Weights(*document_frequencies(df.select(F.col(text).alias("text")), "text")))  # SKETCH_ROWS x SKETCH numbers
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     signed = cut(signatures(docs, weights, "id", "text"))
-    reps = cut(
-        signed.groupBy("t0", "t1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in (*_BAND, *_BYTES)])
-    )
+    rows, bytes_ = signed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    reps = signed.groupBy("t0", "t1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in (*_BAND, *_BYTES)])
+    reps = cut(fewer(reps, rows * 250 / 1e6))
     banded = reps.filter("b0 is not null").select("rep", "size", *_BYTES, F.posexplode(F.array(*_BAND)).alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(banded.join(buckets, "key"))
-    texts = cut(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"))
+    members = cut(fewer(banded.join(buckets, "key"), rows * BANDS * 100 / 1e6))
+    texts = cut(fewer(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"), bytes_ / 1e6))
     star = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    found = cut(verify(star, texts, weights, threshold))
+    found = cut(fewer(verify(star, texts, weights, threshold), bytes_ / 1e6))
     classes = components(found.select("a", "b"))
     classed = members.join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep")).drop("node", "root", "leader")
     split = classed.groupBy("key").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).filter("_x <> _y").select("key")
     shared = classed.join(split, "key").join(reps.select("rep", *_BAND), "rep")
-    more = cut(_linked(_likely(shared), texts, weights, threshold))
+    more = cut(fewer(_linked(_likely(shared), texts, weights, threshold), bytes_ / 1e6))
     if not more.isEmpty():
         found = found.unionByName(more)
         classes = components(found.select("a", "b"))
@@ -479,8 +481,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         ends = found.select("similarity", F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").agg(F.count("*").alias("n_links"), F.max("similarity").alias("best_similarity"))
         by_text = by_text.join(ends, F.col("rep") == F.col("_end"), "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).drop("_end")
         out += [F.sum("n_links").alias("n_links"), F.max("best_similarity").alias("best_similarity"), F.sum("copies").alias("copies")]
-    rows = signed.select("id", "t0", "t1").distinct() if links else signed.select("id", "t0", "t1")
-    return rows.join(by_text.drop("rep"), ["t0", "t1"]).groupBy("id").agg(*out)
+    named = signed.select("id", "t0", "t1").distinct() if links else signed.select("id", "t0", "t1")
+    return named.join(by_text.drop("rep"), ["t0", "t1"]).groupBy("id").agg(*out)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
