@@ -38,7 +38,7 @@ from tokenizers import Tokenizer
 from tallyframe.llm.arrowtools import small_batches, steps, table
 from tallyframe.llm.spans import GOLD, mix, sixteens
 from tallyframe.llm.splitting import _PLAIN, WORD_PATTERN, splitter
-from tallyframe.session import cut
+from tallyframe.session import cut, fewer
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 END = 2
@@ -292,7 +292,7 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, path: str, end: int, win
                     rows.append((d, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, units, part, nth))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = fewer(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     return rows.mapInArrow(work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, units long, part long, nth long")
 
 
