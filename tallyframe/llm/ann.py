@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.draws import drawn
 from tallyframe.llm.arrowtools import table
-from tallyframe.session import cut
+from tallyframe.session import cut, fewer
 
 FIT_ROWS = 16_384
 MOST_LISTS = 1024
@@ -196,7 +196,7 @@ def build_index(df: DataFrame, q: Quantiser, vec_id: str = "vec_id", embedding:
                 )
 
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.coalesce(F.lit(False) if asks is None else asks, F.lit(False)).alias("asks"), F.col(embedding).alias("vector"))
-    numbered = rows.filter("vec_id is not null and vector is not null").select(F.monotonically_increasing_id().alias("row"), "*")
+    numbered = fewer(rows).filter("vec_id is not null and vector is not null").select(F.monotonically_increasing_id().alias("row"), "*")
     return cut(numbered.mapInArrow(work, "row long, vec_id long, asks boolean, list int, codes binary, left double, vector array<double>"))
 
 
